@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loglantern.functions.text import blank_to_null, trim_blanks, whole_number
+from loglantern.functions.text import WHOLE_NUMBER, trim_blanks
 
 # --- fixed values -----------------------------------------------------------
 
@@ -108,20 +105,21 @@ COMMON_LEVELS = ["Error", "Warning", "Information"]
 FUZZY_MODES = ("compat", "fixed")
 
 
-def _choose(key: Column, table: dict, otherwise=None) -> Column:
-    first, *rest = table.items()
-    chain = F.when(key == F.lit(first[0]), first[1])
-    chain = reduce(lambda c, kv: c.when(key == F.lit(kv[0]), kv[1]), rest, chain)
-    return chain if otherwise is None else chain.otherwise(otherwise)
+def _lookup(key: Column, table: dict) -> Column:
+    """Value of a key in a constant map, null when it is not there."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), key)
 
 
-def _has_any(text: Column, words: Iterable[str]) -> Column:
-    return text.rlike("|".join(words))
+def _has_any(text: Column, words: list[str]) -> Column:
+    """True when the text contains one of the words; a word that contains another
+    word of the list adds nothing and is left out."""
+    needed = [w for w in words if not any(v != w and v in w for v in words)]
+    return text.rlike("|".join(needed))
 
 
 def level_from_event_type(event_type: Column) -> Column:
     """Level of a numeric EventType, or null when it names none."""
-    return _choose(event_type, EVENT_TYPE_LEVELS)
+    return _lookup(event_type, EVENT_TYPE_LEVELS)
 
 
 def fuzzy_level(text: Column, fuzzy: str = "compat") -> Column:
@@ -154,14 +152,17 @@ def fuzzy_level(text: Column, fuzzy: str = "compat") -> Column:
 
 def level_from_type_text(type_text: Column, fuzzy: str = "compat") -> Column:
     """Level of a Type text: blank, a number, a localised name, or a guess."""
-    name = blank_to_null(trim_blanks(type_text))
-    number = whole_number(name)
-    chain = F.when(name.isNull(), UNKNOWN_LEVEL).when(
-        number.isNotNull(), _choose(number, TYPE_NUMBER_LEVELS, OTHER_LEVEL)
+    level_of_name = {name: level for level, names in LEVEL_NAMES.items() for name in names}
+    trimmed = trim_blanks(type_text)
+    number = F.coalesce(_lookup(trimmed.try_cast("int"), TYPE_NUMBER_LEVELS), F.lit(OTHER_LEVEL))
+    return F.coalesce(
+        _lookup(type_text, level_of_name),
+        F.when(type_text.isNull() | (type_text == ""), UNKNOWN_LEVEL),
+        _lookup(trimmed, level_of_name),
+        F.when(trimmed == "", UNKNOWN_LEVEL)
+        .when(trimmed.rlike(WHOLE_NUMBER), number)
+        .otherwise(fuzzy_level(type_text, fuzzy)),
     )
-    for level, names in LEVEL_NAMES.items():
-        chain = chain.when(name.isin(names), level)
-    return chain.otherwise(fuzzy_level(name, fuzzy))
 
 
 def normalize_level(event_type: Column, type_text: Column, fuzzy: str = "compat") -> Column:
@@ -170,7 +171,7 @@ def normalize_level(event_type: Column, type_text: Column, fuzzy: str = "compat"
 
 
 def level_priority(level: Column) -> Column:
-    return _choose(level, LEVEL_PRIORITY, LAST_PRIORITY)
+    return F.coalesce(_lookup(level, LEVEL_PRIORITY), F.lit(LAST_PRIORITY))
 
 
 def level_or_unknown(level: Column) -> Column:

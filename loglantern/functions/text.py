@@ -21,19 +21,8 @@ NOT_AVAILABLE = "N/A"
 # Characters that may not stand in a file name.
 FILE_NAME_STOPS = r'[<>:"/\\|?*\x00-\x1f]'
 
-# JSON escapes with a short form.
-JSON_SHORT_ESCAPES = {
-    "\\": "\\\\",
-    '"': '\\"',
-    "\b": "\\b",
-    "\t": "\\t",
-    "\n": "\\n",
-    "\f": "\\f",
-    "\r": "\\r",
-}
-
-# Characters a relaxed JSON writer still prints as \uXXXX: control, private,
-# unassigned and separator characters but the space, and all beyond the BMP.
+# Characters the older JSON output prints as \uXXXX: control, private, unassigned
+# and separator characters but the space, and all beyond the BMP.
 JSON_ESCAPED = r"[\p{Cc}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}\x{10000}-\x{10FFFF}&&[^ ]]"
 
 JSON_FIELDS = {
@@ -56,10 +45,6 @@ def trim_blanks(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
-
-
 def is_blank(text: str | None) -> bool:
     """True for an argument that is missing, empty or white space only."""
     return text is None or not text.strip(BLANKS)
@@ -92,19 +77,22 @@ def _utf16_escape(char: Column) -> Column:
 
 
 def json_string(text: Column) -> Column:
-    """A quoted JSON string with relaxed escaping; null gives JSON null."""
-    escaped = text
-    for plain, short in JSON_SHORT_ESCAPES.items():
-        escaped = F.replace(escaped, F.lit(plain), F.lit(short))
+    """A quoted JSON string with relaxed escaping; null gives JSON null.
+
+    ``to_json`` escapes all that ASCII text can need but the delete character;
+    only other texts are looked at character by character.
+    """
+    wrapped = F.to_json(F.struct(text.alias("x")), {"ignoreNullFields": "false"})
+    quoted = F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
     spelled = F.array_join(
         F.transform(
-            F.regexp_extract_all(escaped, F.lit("(?s)(.)")),
+            F.regexp_extract_all(quoted, F.lit("(?s)(.)")),
             lambda c: F.when(c.rlike(JSON_ESCAPED), _utf16_escape(c)).otherwise(c),
         ),
         "",
     )
-    body = F.when(escaped.rlike(JSON_ESCAPED), spelled).otherwise(escaped)
-    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
+    unusual = (F.octet_length(text) > F.length(text)) | F.contains(text, F.lit("\x7f"))
+    return F.when(unusual & quoted.rlike(JSON_ESCAPED), spelled).otherwise(quoted)
 
 
 def render_json_object(

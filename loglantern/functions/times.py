@@ -98,19 +98,22 @@ def time_bucket(ts: Column, width: timedelta = HOUR, aligned: bool = False) -> C
 
     A width of a day or more gives days, of an hour or more hours, and below that
     whole minutes counted from the start of each hour. ``aligned`` gives buckets
-    of the true width instead.
+    of the true width instead. A null ``ts`` drops the row.
     """
     check_width(width)
-    if aligned:
-        micros = width // timedelta(microseconds=1)
-        return F.window(ts, f"{micros} microseconds").getField("start")
-    if width >= DAY:
-        return day_start(ts)
-    minute = F.lit(0)
-    if width < HOUR:
-        step = width // timedelta(minutes=1)
-        minute = F.minute(ts) - F.minute(ts) % F.lit(step)
-    return day_start(ts) + F.make_dt_interval(F.lit(0), F.hour(ts), minute)
+    step = width // timedelta(minutes=1)
+    if not aligned:
+        if width >= DAY:
+            width = DAY
+        elif width >= HOUR or 60 % step:
+            width = HOUR
+        else:
+            width = timedelta(minutes=step)
+    start = F.window(ts, f"{width // timedelta(microseconds=1)} microseconds").getField("start")
+    if aligned or step >= 60 or 60 % step == 0:
+        return start
+    minute = F.minute(ts)
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), minute - minute % step)
 
 
 def bucket_label(time: Column, width: timedelta = HOUR) -> Column:
@@ -138,20 +141,14 @@ def parse_json_time(text: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
-def wall_micros(ts: Column) -> Column:
-    """Wall clock as a number of microseconds, free of any time zone."""
-    second = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
-    minutes = F.hour(ts) * 60 + F.minute(ts)
-    return (
-        F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000_000
-        + minutes.cast("bigint") * 60_000_000
-        + second
-    )
+def wall_seconds(ts: Column) -> Column:
+    """Wall clock as seconds since 1970 with six decimals, free of any time zone."""
+    return (ts - ntz(datetime(1970, 1, 1))).cast("interval second").cast("decimal(18,6)")
 
 
 def event_time(ts: Column) -> Column:
     """TIMESTAMP that shows the same clock in UTC; watermarks need this type."""
-    return F.timestamp_micros(wall_micros(ts))
+    return F.timestamp_seconds(wall_seconds(ts))
 
 
 def session_name(started: Column, channel: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from loglantern.functions.levels import level_priority
-from loglantern.functions.times import wall_micros
 from loglantern.operators.aggregates import row_count
 from loglantern.operators.filters import LogFilter
 from loglantern.operators.projections import entry_columns
@@ -57,12 +56,30 @@ def page_rows(
     size: int = DEFAULT_PAGE_SIZE,
     top_rows: int = TOP_ROWS,
 ) -> DataFrame:
-    """The rows of one page, newest first; empty past the end."""
+    """The rows of one page, newest first; empty past the end.
+
+    A first job, run at once, finds the page by time and tie-break columns alone;
+    the page is then read with its bounds pushed to the scan, so that messages are
+    read only where the page can be. Rows without a tie-break column are sorted
+    as they are.
+    """
     _check_page(page, size)
     skip = (page - 1) * size
+    ties = tie_break(rows)
+    if not ties:
+        return rows.orderBy(*newest_first(rows)).offset(skip).limit(size)
+    keys, left = rows.select("ts", *ties), skip
     if skip + size > top_rows:
-        rows, skip = _seek(rows, skip, size, top_rows)
-    return rows.orderBy(*newest_first(rows)).offset(skip).limit(size)
+        keys, left = _seek(keys, skip, size, top_rows)
+    found = keys.orderBy(*newest_first(rows)).offset(left).limit(size).collect()
+    if not found:
+        return rows.limit(0)
+    in_page = _behind(rows, found[0]["ts"], [found[0][n] for n in ties], inclusive=True)
+    in_page &= ~_behind(rows, found[-1]["ts"], [found[-1][n] for n in ties])
+    if found[-1]["ts"] is not None:
+        # Said once more on its own, as a bound the scan can use.
+        in_page &= F.col("ts") >= ntz(found[-1]["ts"])
+    return rows.where(in_page).orderBy(*newest_first(rows))
 
 
 def page_after(
@@ -80,17 +97,21 @@ def page_after(
     )
 
 
-def _behind(rows: DataFrame, last_ts: datetime | None, ties: list) -> Column:
+def _behind(
+    rows: DataFrame, last_ts: datetime | None, ties: list, inclusive: bool = False
+) -> Column:
     """Rows that come after one with this time and these tie-break values."""
     lower, same = F.lit(False), F.lit(True)
     for name, value in zip(tie_break(rows), ties):
         lower = lower | (same & (F.col(name) < value))
         same = same & (F.col(name) == value)
+    if inclusive:
+        lower = lower | same
     ts = F.col("ts")
     if last_ts is None:
         return ts.isNull() & lower
     mark = ntz(last_ts)
-    return (ts < mark) | ((ts == mark) & lower) | ts.isNull()
+    return ts.isNull() | (ts < mark) | ((ts == mark) & lower)
 
 
 def get_logs(
@@ -115,8 +136,8 @@ def severity_order() -> list[Column]:
 
 # --- deep pages -------------------------------------------------------------
 #
-# Rows are ordered by (time, id). A pass counts the rows in each of FAN_OUT equal
-# ranges of the time; the counts tell which range the page begins in, and the next
+# Rows are ordered by time and tie-break. A pass counts the rows in each of FAN_OUT
+# equal ranges of the time; the counts tell which range the page begins in, and the next
 # pass counts inside that range only. Every pass reads one narrow column with its
 # bounds pushed to the scan and returns at most FAN_OUT counts. When one single
 # time holds too many rows, the ids under it are split the same way.
@@ -125,41 +146,53 @@ _EPOCH = datetime(1970, 1, 1)
 _MICRO = timedelta(microseconds=1)
 
 
-def _at(micros: int) -> Column:
-    return ntz(_EPOCH + micros * _MICRO)
+def _number(value: datetime | int) -> int:
+    return (value - _EPOCH) // _MICRO if isinstance(value, datetime) else value
+
+
+def _time_ranges(step: int, offset: int) -> Column:
+    window = F.window("ts", f"{step} microseconds", startTime=f"{offset} microseconds")
+    return window.getField("start")
+
+
+def _id_ranges(step: int, offset: int) -> Column:
+    return F.col("id") - F.pmod(F.col("id") - F.lit(offset), F.lit(step))
+
+
+def _time_literal(number: int) -> Column:
+    return ntz(_EPOCH + number * _MICRO)
 
 
 def _descend(
     rows: DataFrame,
-    column: Column,
-    number: Column,
+    column: str,
+    ranges: Callable[[int, int], Column],
     literal: Callable[[int], Column],
     low: int,
     high: int,
     skip: int,
     fits: Callable[[int], bool],
-) -> tuple[int, int, int]:
-    """Narrow ``low..high`` to the range the row at ``skip`` lies in.
+) -> tuple[int, int]:
+    """Lower ``high`` to the end of the range the row at ``skip`` lies in.
 
     Stops when the rows still to skip fit or the range is one single value.
     """
     while not fits(skip) and low < high:
         step = -(-(high - low + 1) // FAN_OUT)
-        bucket = F.call_function("div", F.lit(high) - number, F.lit(step))
+        inside = (F.col(column) >= literal(low)) & (F.col(column) <= literal(high))
         counts = (
-            rows.where((column >= literal(low)) & (column <= literal(high)))
-            .groupBy(bucket.alias("bucket"))
+            rows.where(inside)
+            .groupBy(ranges(step, (high + 1) % step).alias("start"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("bucket")
+            .orderBy(F.desc("start"))
             .collect()
         )
-        for bucket_number, n in counts:
+        for start, n in counts:
             if skip < n:
                 break
             skip -= n
-        high -= bucket_number * step
-        low = max(low, high - step + 1)
-    return low, high, skip
+        low, high = max(low, _number(start)), _number(start) + step - 1
+    return high, skip
 
 
 def _top_ties(rows: DataFrame, skip: int, fits: Callable[[int], bool]) -> tuple[Column, int]:
@@ -176,9 +209,8 @@ def _top_ties(rows: DataFrame, skip: int, fits: Callable[[int], bool]) -> tuple[
         ahead = load < load_id
         ids = rows.where(load == load_id)
     low, high = ids.agg(F.min("id"), F.max("id")).first()
-    id_ = F.col("id")
-    _, high, skip = _descend(ids, id_, id_, F.lit, low, high, skip, fits)
-    begin = id_ <= high
+    high, skip = _descend(ids, "id", _id_ranges, F.lit, low, high, skip, fits)
+    begin = F.col("id") <= high
     return (begin if ids is rows else ahead | ((load == load_id) & begin)), skip
 
 
@@ -199,10 +231,11 @@ def _seek(rows: DataFrame, skip: int, size: int, top_rows: int) -> tuple[DataFra
         begin, skip = _top_ties(untimed, skip - timed_n, fits)
         return untimed.where(begin), skip
 
-    low, high = ((t - _EPOCH) // _MICRO for t in (first, last))
     timed = rows.where(ts.isNotNull())
-    _, high, skip = _descend(timed, ts, wall_micros(ts), _at, low, high, skip, fits)
-    begin = _at(high)
+    high, skip = _descend(
+        timed, "ts", _time_ranges, _time_literal, _number(first), _number(last), skip, fits
+    )
+    begin = _time_literal(high)
     if fits(skip):
         return rows.where((ts <= begin) | ts.isNull()), skip
     same, skip = _top_ties(timed.where(ts == begin), skip, fits)

@@ -231,7 +231,7 @@ def _event_code_parse(r):
     text = F.expr(
         "CASE record_id % 5 WHEN 0 THEN concat(' ', event_code, ' ') "
         "WHEN 1 THEN concat('-', event_code) WHEN 2 THEN concat('+', event_code) "
-        "WHEN 3 THEN concat(event_code, '.5') ELSE concat(event_code, '00000000000') END"
+        "WHEN 3 THEN concat(event_code, '.5') ELSE concat('9', event_code, '0000000000') END"
     )
     return r.select("record_id", whole_number(text).alias("event_code"))
 
@@ -630,7 +630,7 @@ def _measured_sql(text: str) -> str:
     + " || '|' || ".join(
         map(
             _measured_sql,
-            ["strftime(ts, '%Y%m%d%H%M%S%f')", "level", "message", "CAST(event_code AS STRING)", "source"],
+            ["CAST(CAST(epoch_us(ts) AS DECIMAL(18, 0)) * 0.000001 AS STRING)", "level", "message", "CAST(event_code AS STRING)", "source"],
         )
     )
     + ") AS fingerprint FROM e",

@@ -105,6 +105,8 @@ class History:
 
 def source_options(entries: DataFrame, session_id: str | None = None) -> DataFrame:
     """Choices of the source filter: the empty choice, then every source."""
-    empty = entries.sparkSession.createDataFrame([("", 0)], "source string, position int")
+    empty = entries.sparkSession.range(1).select(
+        F.lit("").alias("source"), F.lit(0).alias("position")
+    )
     sources = aggregates.distinct_sources(entries, session_id).withColumn("position", F.lit(1))
     return empty.unionByName(sources).orderBy("position", "source").select("source")

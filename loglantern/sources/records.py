@@ -56,7 +56,7 @@ def stream_records(
 
 
 def _names(spark: SparkSession, column: str, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{column} string")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(column))
 
 
 def channels(records: DataFrame) -> DataFrame:

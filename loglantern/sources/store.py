@@ -40,7 +40,9 @@ class EntryStore:
         writer.option("partitionOverwriteMode", overwrite).parquet(self.path)
 
     def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], STORE_SCHEMA)
+        return self.spark.range(0).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in STORE_SCHEMA]
+        )
 
     def create(self) -> None:
         """Create the table; does nothing when it is there."""
