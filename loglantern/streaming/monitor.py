@@ -41,9 +41,6 @@ class _Events(StreamingQueryListener):
     def __init__(self, monitor: Monitor):
         self.monitor = monitor
 
-    def _mine(self, event) -> bool:
-        return self.monitor.query is None or event.runId == self.monitor.query.runId
-
     def onQueryStarted(self, event) -> None:
         if event.name == self.monitor.session_id:
             self.monitor.on_started()
@@ -55,7 +52,8 @@ class _Events(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        if self._mine(event):
+        query = self.monitor.query
+        if query is not None and str(event.runId) == str(query.runId):
             self.monitor.on_stopped()
 
 
