@@ -74,8 +74,9 @@ def parse_provider_time(text: Column, zone: str = "UTC") -> Column:
         part(9, 2), F.lit(":"), part(11, 2), F.lit(":"), part(13, 9),
     ).try_cast("timestamp_ntz")
     minutes = part(22, 4).try_cast("int")
-    utc = wall - F.make_dt_interval(F.lit(0), F.lit(0), minutes)
-    parsed = F.when(minutes.isNull(), wall).otherwise(to_zone(utc, "UTC", zone))
+    parsed = F.timestamp_add("MINUTE", F.coalesce(-minutes, F.lit(0)), wall)
+    if zone != "UTC":
+        parsed = F.when(minutes.isNull(), wall).otherwise(to_zone(parsed, "UTC", zone))
     return F.coalesce(F.when(text.rlike(PROVIDER_TIME), parsed), ntz(MISSING_TIME))
 
 

@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+EVENTS_SCHEMA = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+)
+
 ENTRIES_SQL = """
 SELECT CAST(event_id AS BIGINT) AS id,
  CASE WHEN event_id % 101 = 0 THEN NULL ELSE ts END AS ts,
@@ -56,13 +60,12 @@ def _over(events: DataFrame, text: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
-    schema = events(spark, sf_dir).schema
-    return spark.readStream.schema(schema).parquet(sf_dir, pathGlobFilter="events.parquet")
+    return spark.readStream.schema(EVENTS_SCHEMA).parquet(sf_dir, pathGlobFilter="events.parquet")
 
 
 def entries_of(events_frame: DataFrame) -> DataFrame:
