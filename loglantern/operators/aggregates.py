@@ -165,17 +165,12 @@ def has_records(entries: DataFrame) -> DataFrame:
 def history_summary(entries: DataFrame) -> DataFrame:
     """Number of sessions, counts by level as one text, and their total.
 
-    Both figures come from one count by session and level; the text is built from
-    the counts by level, a handful of rows.
+    Sessions and levels are counted apart, each from its own column. The text is
+    built from the counts by level, a handful of rows.
     """
-    by_both = _counted(
-        entries, F.col("session_id"), level_or_unknown(F.col("level")).alias("level")
-    )
-    by_level = by_both.groupBy("level").agg(
-        F.sum("count").alias("count"), F.lit(None).cast("bigint").alias("sessions")
-    )
+    by_level = level_counts(entries).withColumn("sessions", F.lit(None).cast("bigint"))
     by_session = (
-        by_both.where(F.col("session_id").isNotNull())
+        entries.where(F.col("session_id").isNotNull())
         .select("session_id")
         .distinct()
         .agg(F.count(F.lit(1)).alias("sessions"))

@@ -25,7 +25,7 @@ DEFAULT_PAGE_SIZE = 50
 # page are counted away in narrow passes, so no task keeps more rows than this.
 TOP_ROWS = 100_000
 # Buckets a counting pass splits its range into.
-FAN_OUT = 1_000
+FAN_OUT = 20_000
 
 
 def tie_break(rows: DataFrame) -> list[str]:

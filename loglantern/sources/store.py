@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from datetime import datetime, timezone
 
@@ -15,6 +16,9 @@ from loglantern.schema import STORE_PARTITIONS, STORE_SCHEMA, ntz
 # Columns whose equality filters skip row groups by Bloom filter.
 BLOOM_COLUMNS = ("source", "event_code")
 
+# Names that stand in a directory name as they are.
+LOAD_NAME = r"[A-Za-z0-9._-]+"
+
 
 def new_load_id() -> str:
     """A load name that sorts by the time of the load."""
@@ -66,24 +70,31 @@ class EntryStore:
         created_at: Column | None = None,
         load_id: str | None = None,
         many_days: bool = False,
+        few_files: bool = False,
     ) -> int:
         """Store entries under a session and return how many were written.
 
         All rows get the current UTC time unless ``created_at`` gives another.
         When that spans many days, ``many_days`` gathers the rows by day first,
-        large days being split over several tasks. To repeat a load, give the
+        large days being split over several tasks. ``few_files`` gathers the rows
+        of a small load that comes in many partitions. To repeat a load, give the
         same ``load_id`` and ``created_at`` again.
         """
+        load_id = new_load_id() if load_id is None else load_id
+        if not re.fullmatch(LOAD_NAME, load_id):
+            raise ValueError(f"a load name has letters, digits and ._- only, not {load_id!r}")
         created_at = utc_now() if created_at is None else created_at
         stamped = stamp_entries(entries, created_at, session_id)
         rows = stamped.withColumns(
             {
                 "ingest_date": F.to_date("created_at"),
-                "load_id": F.lit(load_id or new_load_id()),
+                "load_id": F.lit(load_id),
             }
         )
         if many_days:
             rows = rows.hint("rebalance", "ingest_date")
+        elif few_files:
+            rows = rows.hint("rebalance")
         written = Observation()
         rows = (
             rows.sortWithinPartitions(*STORE_PARTITIONS, "ts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
@@ -35,6 +37,12 @@ def monitor_session_id(channel: str, started: datetime | None = None) -> str:
     return f"Session_{started:%Y%m%d_%H%M%S}_{channel}"
 
 
+def plain_name(session_id: str) -> str:
+    """A session's name for directories; the digest keeps like ones apart."""
+    digest = hashlib.sha256(session_id.encode()).hexdigest()[:8]
+    return f"{re.sub('[^A-Za-z0-9._-]', '_', session_id)}-{digest}"
+
+
 class _Events(StreamingQueryListener):
     """Passes on the events of the monitor's own query."""
 
@@ -127,7 +135,7 @@ class Monitor:
         self.query = (
             self.entries.writeStream.queryName(self.session_id)
             .outputMode("append")
-            .option("checkpointLocation", f"{root.rstrip('/')}/monitor/{self.session_id}")
+            .option("checkpointLocation", f"{root.rstrip('/')}/monitor/{plain_name(self.session_id)}")
             .trigger(**trigger)
             .foreachBatch(self._store_batch)
             .start()
@@ -135,13 +143,17 @@ class Monitor:
         return self.query
 
     def _store_batch(self, batch: DataFrame, number: int) -> None:
-        load_id = f"{self.session_id}-{number:012d}"
+        load_id = f"{plain_name(self.session_id)}-{number:012d}"
         both = self.lines_path is not None
         if both:
             batch = batch.persist()
         try:
             stored = self.store.append(
-                batch, self.session_id, created_at=F.col("created_at"), load_id=load_id
+                batch,
+                self.session_id,
+                created_at=F.col("created_at"),
+                load_id=load_id,
+                few_files=True,
             )
             if both and stored:
                 entry_lines(batch, self.lines_format).write.mode("overwrite").text(

@@ -14,7 +14,7 @@ from loglantern.sources.records import channel_records, stream_records
 from loglantern.sources.shared import new_dir, shared_dir
 from loglantern.sources.store import EntryStore
 from loglantern.streaming.live import live_series, monitored_entries, new_entries
-from loglantern.streaming.monitor import Monitor, monitor_session_id
+from loglantern.streaming.monitor import Monitor, monitor_session_id, plain_name
 
 NOW = datetime(2024, 1, 20, 12)
 WEEK = "Last 7 days"
@@ -166,7 +166,7 @@ def test_repeated_batch_replaces_itself(spark, raw, inbox, tmp_path):
     monitor = watched(spark, tmp_path, stream)
     monitor.run(once=True)
     before = monitor.store.read().orderBy("id").collect()
-    commits = tmp_path / "checkpoint" / "monitor" / monitor.session_id / "commits"
+    commits = tmp_path / "checkpoint" / "monitor" / plain_name(monitor.session_id) / "commits"
     newest = max((p for p in commits.iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
     newest.write_text("")  # an unfinished commit file counts as none
     newest.unlink()
@@ -189,6 +189,19 @@ def test_lines_are_written_too(spark, raw, inbox, tmp_path):
     assert spark.read.text(lines).count() == len(expected(raw)) > 0
 
 
+def test_channel_names_with_slashes(spark, raw, inbox, tmp_path):
+    drop, stream = inbox
+    drop(raw.withColumn("logfile", F.lit("Vendor-Part/Operational (x)")))
+    monitor = watched(spark, tmp_path, stream, channel="Vendor-Part/Operational (x)")
+    monitor.run(once=True)
+    monitor.close()
+    stored_rows = monitor.session_count()
+    assert stored_rows > 0
+    assert monitor.store.delete_older_than(datetime(2100, 1, 1)) == stored_rows
+    assert monitor.session_count() == 0
+    assert plain_name("a b") != plain_name("a_b")
+
+
 def test_start_and_stop(spark, raw, inbox, tmp_path):
     drop, stream = inbox
     drop(raw)
