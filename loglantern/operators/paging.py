@@ -21,8 +21,7 @@ DEFAULT_PAGE_SIZE = 50
 
 # ----------------------------------------------------------------------------
 
-# A page this far down or less is a plain top-k. Past it, the rows before the
-# page are counted away in narrow passes, so no task keeps more rows than this.
+# No task keeps more rows than this for a page; the rows before it are counted away.
 TOP_ROWS = 100_000
 # Buckets a counting pass splits its range into.
 FAN_OUT = 20_000
@@ -58,27 +57,26 @@ def page_rows(
 ) -> DataFrame:
     """The rows of one page, newest first; empty past the end.
 
-    A first job, run at once, finds the page by time and tie-break columns alone;
-    the page is then read with its bounds pushed to the scan, so that messages are
-    read only where the page can be. Rows without a tie-break column are sorted
-    as they are.
+    Jobs run at once find the page by time and tie-break columns alone; the page
+    is then read with its bounds pushed to the scan, so that messages are read
+    only where the page can be. Rows without a tie-break column are sorted as
+    they are.
     """
     _check_page(page, size)
     skip = (page - 1) * size
     ties = tie_break(rows)
     if not ties:
         return rows.orderBy(*newest_first(rows)).offset(skip).limit(size)
-    keys, left = rows.select("ts", *ties), skip
-    if skip + size > top_rows:
-        keys, left = _seek(keys, skip, size, top_rows)
+    keys, left = _seek(rows.select("ts", *ties), skip, size, top_rows)
     found = keys.orderBy(*newest_first(rows)).offset(left).limit(size).collect()
     if not found:
         return rows.limit(0)
-    in_page = _behind(rows, found[0]["ts"], [found[0][n] for n in ties], inclusive=True)
-    in_page &= ~_behind(rows, found[-1]["ts"], [found[-1][n] for n in ties])
-    if found[-1]["ts"] is not None:
-        # Said once more on its own, as a bound the scan can use.
-        in_page &= F.col("ts") >= ntz(found[-1]["ts"])
+    first, last = found[0], found[-1]
+    in_page = _behind(rows, first["ts"], [first[n] for n in ties], inclusive=True)
+    in_page &= ~_behind(rows, last["ts"], [last[n] for n in ties])
+    if last["ts"] is not None:
+        # Said once more on their own, as bounds the scan can use.
+        in_page &= (F.col("ts") >= ntz(last["ts"])) & (F.col("ts") <= ntz(first["ts"]))
     return rows.where(in_page).orderBy(*newest_first(rows))
 
 
@@ -134,16 +132,19 @@ def severity_order() -> list[Column]:
     return [level_priority(F.col("level")), F.asc("level")]
 
 
-# --- deep pages -------------------------------------------------------------
+# --- finding a page -----------------------------------------------------------
 #
-# Rows are ordered by time and tie-break. A pass counts the rows in each of FAN_OUT
-# equal ranges of the time; the counts tell which range the page begins in, and the next
-# pass counts inside that range only. Every pass reads one narrow column with its
-# bounds pushed to the scan and returns at most FAN_OUT counts. When one single
-# time holds too many rows, the ids under it are split the same way.
+# Rows are ordered by time and tie-break. One pass counts the rows of every day,
+# which tells the days the page lies in; for most pages a top-k over the keys of
+# those days does the rest. Where too many rows of the first day come before the
+# page, further passes count the rows in each of FAN_OUT equal ranges of that day,
+# then inside the range the page begins in, and so on. When one single time holds
+# too many rows, the ids under it are split the same way. Every pass reads a narrow
+# column, with its bounds pushed to the scan, and returns counts only.
 
 _EPOCH = datetime(1970, 1, 1)
 _MICRO = timedelta(microseconds=1)
+_DAY = timedelta(days=1) // _MICRO
 
 
 def _number(value: datetime | int) -> int:
@@ -214,29 +215,46 @@ def _top_ties(rows: DataFrame, skip: int, fits: Callable[[int], bool]) -> tuple[
     return (begin if ids is rows else ahead | ((load == load_id) & begin)), skip
 
 
-def _seek(rows: DataFrame, skip: int, size: int, top_rows: int) -> tuple[DataFrame, int]:
-    """Cut off rows ahead of the page until a plain top-k can do the rest."""
+def _seek(keys: DataFrame, skip: int, size: int, top_rows: int) -> tuple[DataFrame, int]:
+    """Cut the keys down to a range holding the page; how many of them to skip."""
 
     def fits(left: int) -> bool:
         return left + size <= max(top_rows, size)
 
     ts = F.col("ts")
-    first, last, timed_n, n = rows.agg(
-        F.min("ts"), F.max("ts"), F.count("ts"), F.count(F.lit(1))
-    ).first()
-    if skip >= n:
-        return rows.limit(0), 0
-    if skip >= timed_n:
-        untimed = rows.where(ts.isNull())
-        begin, skip = _top_ties(untimed, skip - timed_n, fits)
+    timed = keys.where(ts.isNotNull())
+    days = (
+        timed.groupBy(_time_ranges(_DAY, 0).alias("day"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("day"))
+        .collect()
+    )
+    position = 0
+    while position < len(days) and skip >= days[position].n:
+        skip -= days[position].n
+        position += 1
+    if position == len(days):
+        untimed = keys.where(ts.isNull())
+        if skip >= untimed.count():
+            return keys.limit(0), 0
+        begin, skip = _top_ties(untimed, skip, fits)
         return untimed.where(begin), skip
 
-    timed = rows.where(ts.isNotNull())
+    # The days from here on that are sure to hold the page; none may remain.
+    reach, end = 0, position
+    while end < len(days) and reach < skip + size:
+        reach += days[end].n
+        end += 1
+    enough = reach >= skip + size
+    tail = ts >= ntz(days[end - 1].day) if enough else ts.isNull()
+
+    low = _number(days[position].day)
     high, skip = _descend(
-        timed, "ts", _time_ranges, _time_literal, _number(first), _number(last), skip, fits
+        timed, "ts", _time_ranges, _time_literal, low, low + _DAY - 1, skip, fits
     )
     begin = _time_literal(high)
-    if fits(skip):
-        return rows.where((ts <= begin) | ts.isNull()), skip
-    same, skip = _top_ties(timed.where(ts == begin), skip, fits)
-    return rows.where((ts < begin) | ((ts == begin) & same) | ts.isNull()), skip
+    ahead = ts <= begin
+    if not fits(skip):
+        same, skip = _top_ties(timed.where(ts == begin), skip, fits)
+        ahead = (ts < begin) | ((ts == begin) & same)
+    return keys.where(ahead & tail if enough else ahead | tail), skip

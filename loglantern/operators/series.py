@@ -7,15 +7,26 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglantern.functions.times import HOUR, bucket_label, time_bucket
+from loglantern.functions.times import HOUR, bucket_label, check_width, time_bucket
+
+
+MINUTE = timedelta(minutes=1)
 
 
 def time_series(entries: DataFrame, width: timedelta = HOUR, aligned: bool = False) -> DataFrame:
-    """``time, count, label`` per non-empty bucket, oldest first."""
+    """``time, count, label`` per non-empty bucket, oldest first.
+
+    Buckets that do not divide the hour are added up from the counts by minute.
+    """
+    check_width(width)
+    rows = entries.where(F.col("ts").isNotNull()).select("ts")
+    count = F.count(F.lit(1))
+    if not aligned and width < HOUR and 60 % (width // MINUTE):
+        rows = rows.groupBy(time_bucket(F.col("ts"), MINUTE).alias("ts")).agg(count.alias("n"))
+        count = F.sum("n")
     return (
-        entries.where(F.col("ts").isNotNull())
-        .groupBy(time_bucket(F.col("ts"), width, aligned).alias("time"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        rows.groupBy(time_bucket(F.col("ts"), width, aligned).alias("time"))
+        .agg(count.alias("count"))
         .withColumn("label", bucket_label(F.col("time"), width))
         .orderBy("time")
     )
