@@ -77,7 +77,8 @@ def page_rows(
     if last["ts"] is not None:
         # Said once more on their own, as bounds the scan can use.
         in_page &= (F.col("ts") >= ntz(last["ts"])) & (F.col("ts") <= ntz(first["ts"]))
-    return rows.where(in_page).orderBy(*newest_first(rows))
+    # No more rows than that are left; the limit makes it a top-k, not a global sort.
+    return rows.where(in_page).orderBy(*newest_first(rows)).limit(size)
 
 
 def page_after(
