@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglantern.llm import bpe, language, mixing
-from loglantern.llm.common import pick, saved, table
+from loglantern.llm import bpe, language, lines, minhash, mixing
+from loglantern.llm.common import SPACE, pick, saved, table, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,6 +28,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select("doc_id", F.col("whole").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated three-line windows; what has no word left then goes.
+
+    A document of which nothing is removed stays as it is, whatever is in it.
+    """
+    rows = pick(docs, *COLUMNS)
+    cut = lines.remove_lines(rows.select("doc_id", "text")).where("n_removed > 0").dropDuplicates(["doc_id", "tkey"])
+    cut = cut.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "kept_text")
+    joined = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("d")) & (text_key(F.col("text")) == F.col("k")), "left")
+    whole = F.col("kept_text").isNull()
+    text = F.coalesce("kept_text", "text")
+    left = joined.where(whole | (F.btrim("kept_text", F.lit(SPACE)) != ""))
+    return left.select("doc_id", text.alias("text"), "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.char_length("kept_text")).cast("long").alias("n_chars"))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that with the smallest doc_id."""
+    rows = pick(docs, *COLUMNS)
+    gone = minhash.near_duplicates(rows).where("NOT kept").select("doc_id").distinct()
+    return rows.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix reads them: some not at all, some in part, some repeatedly."""
     placed = saved(mixing.place_documents(docs), "mix-placed")
@@ -41,6 +63,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", identify_language),
+    ("lines", remove_lines),
+    ("minhash", remove_near_duplicates),
     ("mix", mix),
     ("encode", encode),
 ]

@@ -10,11 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loglantern.llm import bpe, chat, language, mixing, quality, substring
+from loglantern.llm import bpe, chat, language, lines, minhash, mixing, quality, substring, vectors, warc
 
 _MODULES = {
     "op1_source_mix": mixing,
+    "op2_line_dedup": lines,
+    "op3_vector_dedup": vectors,
+    "op4_warc": warc,
     "op5_chat_format": chat,
+    "op6_minhash_dedup": minhash,
     "op7_substring_dedup": substring,
     "op8_language_id": language,
     "op9_bpe": bpe,
