@@ -12,11 +12,15 @@ counted exactly.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per distinct text;
 texts that agree in a band are candidates (at similarity 0.8 one pair in 5,000 is missed).
-Round one compares every member of a band's bucket with its first; round two compares, by
-their samples, members that are then still apart with all others, in blocks of bounded
-size, and keeps pairs that at least half their samples and the sums of weights leave
-possible. Every candidate is verified by the exact weighted Jaccard similarity of the whole
-texts. Links make components; the smallest doc_id names the class and stays.
+Round one verifies every member of a band's bucket against its first. Members that are then
+still apart are compared with all others by their samples, in blocks of bounded size: pairs
+count as near if half their samples and the sums of weights leave a link possible. Round
+two verifies the near pairs of the few members that are nearest to most, the middle of a
+group of copies, and the nearest two of each member; round three all near pairs that are
+left. So a group of copies costs a few pairs for each member, and no link is left out.
+Candidates are verified by the exact weighted Jaccard similarity of the whole texts, which
+lie in a table bucketed by node, so no round shuffles them again. Links make components;
+the smallest doc_id names the class and stays.
 
 Defined cases: null, empty and blank texts have no shingles and stay apart, but equal texts
 are one class; texts of one to four words are one shingle; rows that share a doc_id are one
@@ -36,6 +40,7 @@ from pyspark.sql import functions as F
 from loglantern.llm.common import pick, saved, table, text_key
 from loglantern.llm.graph import components
 from loglantern.llm.wordhash import Chunk, chunks, mix
+from loglantern.sources.shared import new_dir
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -44,6 +49,7 @@ SAMPLES = BANDS * ROWS
 RARE = 1e-3
 MAX_FREQUENT = 1 << 19
 BLOCK = 1500  # members of a bucket that are compared in one task
+HUBS, NEAREST = 3, 2  # members of a block that round two tries with all, and for each
 
 _SLOT_BITS = 21
 _SLICES = 32
@@ -232,32 +238,55 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group, the pairs in different components, one of them in none of the
-    bucket's first, that may be similar enough."""
+def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Of each group, near pairs in different components, one of them apart from the
+    bucket's first: all of them, or those of the hubs and the nearest ones."""
     for group in _groups(batches, "task"):
         node, comp, total = (group.column(c).to_numpy() for c in ("node", "comp", "total"))
         minor, home = group.column("minor").to_numpy(), group.column("home").to_numpy()
         samples = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint16).reshape(-1, SAMPLES)
         lefts, rights = [], []
+        mass = np.zeros(home.sum(), np.int64)
         # the visitors meet the members at home; at home, members meet each other
         asked = np.flatnonzero(minor)
         hosts = np.flatnonzero(home)
-        for i in range(0, len(asked), 64):
-            x = asked[i : i + 64]
-            agree = (samples[x][:, None, :] == samples[hosts][None, :, :]).sum(2)
-            near = (2 * agree >= SAMPLES) & (comp[x][:, None] != comp[hosts][None, :])
-            low, high = np.minimum(total[x][:, None], total[hosts][None, :]), np.maximum(total[x][:, None], total[hosts][None, :])
-            near &= low >= (SIMILARITY - 1e-6) * high
+
+        def agreeing(x: np.ndarray, with_: np.ndarray) -> np.ndarray:
+            """Samples that members x share with others; 0 where they are not near."""
+            agree = (samples[x][:, None, :] == samples[with_][None, :, :]).sum(2)
+            near = (2 * agree >= SAMPLES) & (comp[x][:, None] != comp[with_][None, :])
+            low, high = np.minimum(total[x][:, None], total[with_][None, :]), np.maximum(total[x][:, None], total[with_][None, :])
+            return np.where(near & (low >= (SIMILARITY - 1e-6) * high), agree, 0)
+
+        def found(x: np.ndarray, with_: np.ndarray, near: np.ndarray) -> None:
             a, b = np.nonzero(near)
             lefts.append(node[x[a]])
-            rights.append(node[hosts[b]])
+            rights.append(node[with_[b]])
+
+        for i in range(0, len(asked), 64):
+            x = asked[i : i + 64]
+            agree = agreeing(x, hosts)
+            if every:
+                found(x, hosts, agree)
+                continue
+            mass += agree.sum(0)
+            if agree.shape[1] > NEAREST:
+                least = np.partition(agree, -NEAREST, axis=1)[:, -NEAREST]
+                agree[agree < least[:, None]] = 0
+                # of many equally near ones the first few do
+                agree[np.cumsum(agree > 0, axis=1) > NEAREST] = 0
+            found(x, hosts, agree)
+        if not every:
+            hubs = hosts[np.argsort(-mass, kind="stable")[:HUBS]]
+            for i in range(0, len(asked), 1024):
+                x = asked[i : i + 1024]
+                found(x, hubs, agreeing(x, hubs))
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (lefts, rights))
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 
-def _apart(members: DataFrame, first: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates of round two: pairs of a bucket that round one has not joined.
+def _apart(members: DataFrame, first: DataFrame, joined: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
+    """Candidates among the members of a bucket that the rounds before have not joined.
 
     Every member is at home in one block of its bucket; those that are not in the
     component of the bucket's first visit all its blocks.
@@ -279,7 +308,9 @@ def _apart(members: DataFrame, first: DataFrame, joined: DataFrame, texts: DataF
     dealt = dealt.join(facts, F.col("node") == F.col("tn")).select(
         F.xxhash64("key", "block").alias("task"), "node", "comp", "minor", (F.col("mine") == F.col("block")).alias("home"), "total", "samples"
     )
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_compare, "a long, b long").distinct()
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(
+        lambda batches: _compare(batches, every), "a long, b long"
+    ).distinct()
 
 
 # --- verification -------------------------------------------------------------------
@@ -321,6 +352,17 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: flo
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(fill, "a long, b long, similarity double")
 
 
+def _bucketed(frame: DataFrame, key: str) -> DataFrame:
+    """The rows written to the shared folder in buckets of a key: joins on the key read
+    them in place."""
+    spark = frame.sparkSession
+    path = new_dir(spark, "minhash-whole")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the smallest node of the class), kept of each row."""
     docs = pick(docs, "doc_id", "text")
@@ -339,12 +381,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = saved(members.join(first.select("key"), "key", "left_semi"), "minhash-members")
     # the texts that share a bucket with others: nothing else has to be verified
     met = members.select("node").distinct()
-    whole = saved(named.join(met, "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "minhash-whole")
+    whole = _bucketed(named.join(met.hint("merge"), "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "node")
     star = members.join(first, "key").select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     links = saved(verify(star, whole, weights, similarity), "minhash-links").select("a", "b")
-    joined = components(links)
-    more = saved(verify(_apart(members, first, joined, texts), whole, weights, similarity), "minhash-links").select("a", "b")
-    classes = components(links.union(more).union(copies.select("a", "b")))
+    for every in (False, True):
+        pairs = _apart(members, first, components(links), texts, every)
+        more = saved(verify(pairs, whole, weights, similarity), "minhash-links").select("a", "b")
+        links = links.union(more)
+    classes = components(links.union(copies.select("a", "b")))
     out = named.select("doc_id", F.col("node").alias("m")).join(classes, F.col("m") == F.col("node"), "left")
     label = F.coalesce("component", "m")
     return out.select("doc_id", label.alias("class_id"), (label == F.col("m")).alias("kept"))
