@@ -82,27 +82,41 @@ def _log_factorial(n: Column) -> Column:
     return series - F.log(product)
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _hypergeometric(all_: Column, good: Column, draws: Column, u: Column) -> Column:
     """How many of ``draws`` from ``all_`` are among the ``good``: inverts the
     distribution at u. Beyond 12 deviations there is nothing a double could hold."""
-    n, k, d = all_.cast("double"), good.cast("double"), draws.cast("double")
-    mean = d * k / n
-    deviation = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - k / n) * (n - d) / F.greatest(n - 1, F.lit(1.0))))
-    low = F.greatest(_long(0), draws - (all_ - good), F.floor(mean - 12 * deviation - 12))
-    high = F.least(draws, good, F.ceil(mean + 12 * deviation + 12))
-    first = F.exp(_log_choose(k, low.cast("double")) + _log_choose(n - k, d - low) - _log_choose(n, d))
-    start = F.struct(first.alias("p"), F.lit(0.0).alias("below"), low.alias("x"))
-
-    def step(s: Column, x: Column) -> Column:
-        below = s["below"] + s["p"]
-        following = s["p"] * (k - x) * (d - x) / ((x + 1) * F.greatest(n - k - d + x + 1, F.lit(1.0)))
-        return F.struct(following.alias("p"), below.alias("below"), F.when(below <= u, x + 1).otherwise(s["x"]).alias("x"))
-
-    drawn = F.aggregate(F.sequence(low, high), start, step, lambda s: F.least(s["x"], high))
+
+    def from_range(r: Column) -> Column:
+        n, k, d, low, high = (r[x] for x in ("n", "k", "d", "low", "high"))
+        logs = F.transform(F.array(k, low, k - low, n - k, d - low, n - k - d + low, n, d, n - d), _log_factorial)
+        signs = F.array(*(F.lit(x) for x in (1.0, -1.0, -1.0, 1.0, -1.0, -1.0, -1.0, 1.0, 1.0)))
+        chance = F.exp(F.aggregate(F.zip_with(logs, signs, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+        start = F.struct(chance.alias("p"), F.lit(0.0).alias("below"), low.alias("x"))
+
+        def step(s: Column, x: Column) -> Column:
+            below = s["below"] + s["p"]
+            following = s["p"] * (k - x) * (d - x) / ((x + 1) * F.greatest(n - k - d + x + 1, F.lit(1.0)))
+            return F.struct(following.alias("p"), below.alias("below"), F.when(below <= u, x + 1.0).otherwise(s["x"]).alias("x"))
+
+        places = F.sequence(low.cast("long"), high.cast("long"))
+        return F.aggregate(places, start, step, lambda s: F.least(s["x"], high).cast("long"))
+
+    def spread(r: Column) -> Column:
+        n, k, d = r["n"], r["k"], r["d"]
+        return r.withField("mean", d * k / n).withField("deviation", F.sqrt(F.greatest(F.lit(0.0), d * k / n * (1 - k / n) * (n - d) / F.greatest(n - 1, F.lit(1.0)))))
+
+    def bounds(r: Column) -> Column:
+        n, k, d, reach = r["n"], r["k"], r["d"], 12 * r["deviation"] + 12
+        low = F.greatest(F.lit(0.0), d - (n - k), F.floor(r["mean"] - reach).cast("double"))
+        return r.withField("low", low).withField("high", F.least(d, k, F.ceil(r["mean"] + reach).cast("double")))
+
+    counts = F.struct(all_.cast("double").alias("n"), good.cast("double").alias("k"), draws.cast("double").alias("d"))
+    drawn = _let(counts, lambda c: _let(spread(c), lambda r: _let(bounds(r), from_range)))
     return F.when((all_ <= 0) | (good <= 0) | (draws <= 0), _long(0)).otherwise(drawn)
 
 
@@ -113,8 +127,10 @@ def _left_counts(node: Column, parts: Column, seed: int) -> Column:
 
     def step(s: Column, p: Column) -> Column:
         u = F.call_function("shiftrightunsigned", F.xxhash64(node, p["src"], F.lit(seed)), F.lit(11)) * 2.0**-53
-        x = _hypergeometric(s["rest"], p["n"], s["take"], u)
-        return F.struct((s["rest"] - p["n"]).alias("rest"), (s["take"] - x).alias("take"), F.array_append(s["out"], x).alias("out"))
+        return _let(
+            _hypergeometric(s["rest"], p["n"], s["take"], u),
+            lambda x: F.struct((s["rest"] - p["n"]).alias("rest"), (s["take"] - x).alias("take"), F.array_append(s["out"], x).alias("out")),
+        )
 
     return F.aggregate(parts, start, step, lambda s: s["out"])
 

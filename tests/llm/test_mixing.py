@@ -49,7 +49,7 @@ def test_tree_keeps_quotas_and_law(spark):
     quotas = {0: 700, 1: 200, 2: 100}
     frame = spark.createDataFrame(list(quotas.items()), "src int, n long")
     lefts = []
-    for seed in range(60):
+    for seed in range(24):
         rows = mixing.split_quotas(frame, 2, seed).collect()
         ranges = defaultdict(list)
         for r in rows:
@@ -63,7 +63,7 @@ def test_tree_keeps_quotas_and_law(spark):
     mean = sum(lefts) / len(lefts)
     spread = math.sqrt(sum((x - mean) ** 2 for x in lefts) / len(lefts))
     law = math.sqrt(500 * 0.2 * 0.8 * 500 / 999)
-    assert abs(mean - 100) < 4 * law / math.sqrt(60) and 0.6 * law < spread < 1.5 * law
+    assert abs(mean - 100) < 4 * law / math.sqrt(24) and 0.6 * law < spread < 1.5 * law
 
 
 def test_odd_rows_and_slices(spark, odd_docs, no_docs):
