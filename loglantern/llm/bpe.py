@@ -30,6 +30,7 @@ from loglantern.llm.common import pick, saved, table
 
 TABLE_WORDS = 1 << 18
 WORD_BYTES = 48
+SLICE = 200_000  # words or ids that a worker handles at once
 
 #: Fixed value: the pattern of byte-level tokenizers, with white space as in Unicode.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -127,18 +128,23 @@ def _ragged(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)]
 
 
-def encode(docs: DataFrame, path: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
-    """doc_id, ids of each row's whole text."""
-    path = path or tokenizer_path()
-    held = word_table(docs, path, table_words).toArrow().combine_chunks()  # bounded: see above
-    words = held.column("word").combine_chunks() if held.num_rows else pa.array([], pa.string())
-    lists = held.column("ids").combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int32()))
-    known = docs.sparkSession.sparkContext.broadcast((words, lists.values.to_numpy(), np.asarray(pc.list_value_length(lists)).astype(np.int64)))
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with some ``SLICE`` elements of a list column, so that
+    what a worker holds does not follow the batch. A row is always whole."""
+    ends = np.asarray(batch.column(column).offsets).astype(np.int64)
+    first = 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE, "right")) - 1)
+        yield batch.slice(first, min(last, len(batch)) - first)
+        first = last
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_words, table_ids, table_sizes = known.value
-        for batch in batches:
-            lists = batch.column("words")
+
+def _fill_ids(batches: Iterator[pa.RecordBatch], known, path: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, words to doc_id, ids."""
+    table_words, table_ids, table_sizes = known.value
+    for batch in batches:
+        for part in _slices(batch, "words"):
+            lists = part.column("words")
             flat, ends = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
             ends = ends - ends[0]
             at = pc.index_in(flat, value_set=table_words)
@@ -150,20 +156,15 @@ def encode(docs: DataFrame, path: str | None = None, table_words: int = TABLE_WO
             got = _ragged(ids, begins[at], sizes[at])
             offsets = np.r_[0, np.cumsum(sizes[at])][ends].astype(np.int32)
             out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], names=["doc_id", "ids"])
-
-    split = pick(docs, "doc_id", "text").select("doc_id", split_words(F.col("text"), list(_specials(path))).alias("words"))
-    return split.mapInArrow(fill, "doc_id long, ids array<int>")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), out], names=["doc_id", "ids"])
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, text of rows with ids; broken UTF-8 gives replacement characters."""
-    path = path or tokenizer_path()
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(path)
-        for batch in batches:
-            lists = batch.column("ids")
+def _fill_text(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids to doc_id, ids, text: joins each id with its piece."""
+    pieces = _pieces(path)
+    for batch in batches:
+        for part in _slices(batch, "ids"):
+            lists = part.column("ids")
             ends = np.asarray(lists.offsets)
             taken = pieces.take(lists.flatten())
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0]), taken), pa.scalar(b"", pa.binary()))
@@ -171,14 +172,46 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 text = joined.cast(pa.string())
             except pa.ArrowInvalid:
                 text = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, text], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, text], names=["doc_id", "ids", "text"])
+
 
-    return pick(encoded, "doc_id", "ids").mapInArrow(fill, "doc_id long, ids array<int>, text string")
+def _held(docs: DataFrame, path: str, table_words: int):
+    """The table of words on every executor; bounded, see above."""
+    held = word_table(docs, path, table_words).toArrow().combine_chunks()
+    words = held.column("word").combine_chunks() if held.num_rows else pa.array([], pa.string())
+    lists = held.column("ids").combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int32()))
+    sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    return docs.sparkSession.sparkContext.broadcast((words, lists.values.to_numpy(), sizes))
+
+
+def _split(docs: DataFrame, path: str) -> DataFrame:
+    return pick(docs, "doc_id", "text").select("doc_id", split_words(F.col("text"), list(_specials(path))).alias("words"))
+
+
+def encode(docs: DataFrame, path: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
+    """doc_id, ids of each row's whole text."""
+    path = path or tokenizer_path()
+    known = _held(docs, path, table_words)
+    return _split(docs, path).mapInArrow(lambda batches: _fill_ids(batches, known, path), "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, text of rows with ids; broken UTF-8 gives replacement characters."""
+    path = path or tokenizer_path()
+    return pick(encoded, "doc_id", "ids").mapInArrow(lambda batches: _fill_text(batches, path), "doc_id long, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
+    """doc_id, ids, text decoded from them: both steps in one worker."""
+    path = path or tokenizer_path()
+    known = _held(docs, path, table_words)
+    both = lambda batches: _fill_text(_fill_ids(batches, known, path), path)
+    return _split(docs, path).mapInArrow(both, "doc_id long, ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
 
