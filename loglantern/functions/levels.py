@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,7 +116,7 @@ def _has_any(text: Column, words: list[str]) -> Column:
     """True when the text contains one of the words; a word that contains another
     word of the list adds nothing and is left out."""
     needed = [w for w in words if not any(v != w and v in w for v in words)]
-    return text.rlike("|".join(needed))
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in needed])
 
 
 def level_from_event_type(event_type: Column) -> Column:
@@ -131,23 +133,23 @@ def fuzzy_level(text: Column, fuzzy: str = "compat") -> Column:
     """
     if fuzzy not in FUZZY_MODES:
         raise ValueError(f"fuzzy must be one of {FUZZY_MODES}, not {fuzzy!r}")
-    lowered = F.lower(text)
-    audit = _has_any(lowered, AUDIT_WORDS)
-    outcomes = [
-        (audit & _has_any(lowered, SUCCESS_WORDS), "AuditSuccess"),
-        (audit & _has_any(lowered, FAILURE_WORDS), "AuditFailure"),
-    ]
+    outcomes = [(SUCCESS_WORDS, "AuditSuccess"), (FAILURE_WORDS, "AuditFailure")]
     if fuzzy == "fixed":
         outcomes.reverse()
     (first, first_level), (second, second_level) = outcomes
-    return (
-        F.when(first, first_level)
-        .when(second, second_level)
-        .when(_has_any(lowered, ERROR_WORDS), "Error")
-        .when(_has_any(lowered, WARNING_WORDS), "Warning")
-        .when(_has_any(lowered, INFORMATION_WORDS), "Information")
-        .otherwise(OTHER_LEVEL)
-    )
+
+    def guess(lowered: Column) -> Column:
+        outcome = F.when(_has_any(lowered, first), first_level).when(_has_any(lowered, second), second_level)
+        return F.coalesce(
+            F.when(_has_any(lowered, AUDIT_WORDS), outcome),
+            F.when(_has_any(lowered, ERROR_WORDS), "Error")
+            .when(_has_any(lowered, WARNING_WORDS), "Warning")
+            .when(_has_any(lowered, INFORMATION_WORDS), "Information")
+            .otherwise(OTHER_LEVEL),
+        )
+
+    # a lambda binds the lower-cased text, which else each test would make anew
+    return F.get(F.transform(F.array(F.lower(text)), guess), F.lit(0))
 
 
 def level_from_type_text(type_text: Column, fuzzy: str = "compat") -> Column:

@@ -159,12 +159,18 @@ def json_record(
 
 
 def short_label(text: Column, length: int = LABEL_LENGTH) -> Column:
-    """Chart label cut to ``length`` characters, the last three of them dots."""
+    """Chart label cut to ``length`` UTF-16 units, the last three of them dots; a
+    character of two units is not cut apart but left out."""
     if length <= len(ELLIPSIS):
         raise ValueError(f"length must be over {len(ELLIPSIS)}")
-    return F.when(
-        F.length(text) > length,
-        F.concat(F.substring(text, 1, length - len(ELLIPSIS)), F.lit(ELLIPSIS)),
+    units = F.encode(text, "UTF-16BE")
+    room = 2 * (length - len(ELLIPSIS))
+    split = F.hex(F.substring(units, room - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.substring(units, 1, room), "UTF-16BE")
+    whole = F.decode(F.substring(units, 1, room - 2), "UTF-16BE")
+    return F.when(F.octet_length(text) <= length, text).when(
+        F.octet_length(units) > 2 * length,
+        F.concat(F.when(split, whole).otherwise(cut), F.lit(ELLIPSIS)),
     ).otherwise(text)
 
 

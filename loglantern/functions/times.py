@@ -20,6 +20,10 @@ HOUR_LABEL_FORMAT = "HH:mm"
 JSON_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS"
 STAMP_FORMAT = "yyyyMMdd_HHmmss"
 
+# Year, month and day, then perhaps a time, then perhaps Z or an offset.
+JSON_TIME = r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?)(Z|[+-]\d{2}:\d{2})?$"
+MONTH_FIRST_TIME = r"^(\d{2})/(\d{2})/(\d{4})( \d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
+
 TIME_RANGES = {
     "Last hour": timedelta(hours=1),
     "Last 24 hours": timedelta(days=1),
@@ -53,14 +57,17 @@ def to_zone(ts: Column, source: str, target: str) -> Column:
 
 
 def utc_now() -> Column:
-    """Current UTC wall clock; in a stream the time recorded for the batch."""
-    return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
+    """Current UTC wall clock; in a stream the time recorded for the batch.
+
+    Built from the instant, so it does not run backwards when clocks are set back.
+    """
+    micros = F.unix_micros(F.current_timestamp()).cast("decimal(20,0)") / 1_000_000
+    return ntz(datetime(1970, 1, 1)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micros.cast("decimal(18,6)"))
 
 
 def local_now(zone: str | None = None) -> Column:
     """Current wall clock of ``zone``, by default of the session."""
-    now = F.localtimestamp()
-    return now if zone is None else F.convert_timezone(None, F.lit(zone), now)
+    return F.localtimestamp() if zone is None else to_zone(utc_now(), "UTC", zone)
 
 
 def parse_provider_time(text: Column, zone: str = "UTC") -> Column:
@@ -137,9 +144,26 @@ def json_time(ts: Column, zone: str | None = None) -> Column:
     )
 
 
-def parse_json_time(text: Column) -> Column:
-    """Wall clock of a JSON time text, or null when it is none."""
-    return text.try_cast("timestamp_ntz")
+def parse_json_time(text: Column, zone: str = "UTC") -> Column:
+    """Wall clock of a JSON time text, or null when it is none.
+
+    A text without an offset is a wall clock as it stands; ``Z`` or an offset makes it
+    an instant, shown on the clock of ``zone``. A date alone is midnight; a year or a
+    month alone is no time, and of month/day/year forms the time is optional too.
+    """
+    parts = F.regexp_extract(text, JSON_TIME, 1)
+    wall = parts.try_cast("timestamp_ntz")
+    offset = F.regexp_extract(text, JSON_TIME, 2)
+    ahead = F.when(offset == "Z", 0).otherwise(
+        (F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, -2, 2).cast("int"))
+        * F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
+    )
+    instant = to_zone(F.timestamp_add("MINUTE", -ahead, wall), "UTC", zone)
+    slashed = F.regexp_replace(text, MONTH_FIRST_TIME, "$3-$1-$2$4").try_cast("timestamp_ntz")
+    return (
+        F.when(text.rlike(JSON_TIME), F.when(offset == "", wall).otherwise(instant))
+        .when(text.rlike(MONTH_FIRST_TIME), slashed)
+    )
 
 
 def wall_seconds(ts: Column) -> Column:

@@ -8,16 +8,18 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from loglantern.functions.keys import entry_fingerprint
 from loglantern.functions.levels import level_priority
 from loglantern.operators.aggregates import row_count
 from loglantern.operators.filters import LogFilter
 from loglantern.operators.projections import entry_columns
-from loglantern.schema import ntz
+from loglantern.schema import ENTRY_COLUMNS, ntz
 
 # --- fixed values -----------------------------------------------------------
 
 PAGE_SIZES = (25, 50, 100, 200, 500)
 DEFAULT_PAGE_SIZE = 50
+MAX_PAGE_SIZE = 10_000  # a page passes through the driver by its keys
 
 # ----------------------------------------------------------------------------
 
@@ -25,6 +27,8 @@ DEFAULT_PAGE_SIZE = 50
 TOP_ROWS = 100_000
 # Buckets a counting pass splits its range into.
 FAN_OUT = 20_000
+# Characters by which the beginning of a load's name grows from pass to pass.
+NAME_STEP = 2
 
 
 def tie_break(rows: DataFrame) -> list[str]:
@@ -45,8 +49,8 @@ def page_count(total: Column, size: int = DEFAULT_PAGE_SIZE) -> Column:
 def _check_page(page: int, size: int) -> None:
     if page < 1:
         raise ValueError("pages are counted from 1")
-    if size < 1:
-        raise ValueError("a page holds at least one row")
+    if not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"a page holds 1 to {MAX_PAGE_SIZE} rows")
 
 
 def page_rows(
@@ -59,14 +63,15 @@ def page_rows(
 
     Jobs run at once find the page by time and tie-break columns alone; the page
     is then read with its bounds pushed to the scan, so that messages are read
-    only where the page can be. Rows without a tie-break column are sorted as
-    they are.
+    only where the page can be. Entries without a tie-break column are
+    sorted as they are, ties by their fingerprint.
     """
     _check_page(page, size)
     skip = (page - 1) * size
     ties = tie_break(rows)
     if not ties:
-        return rows.orderBy(*newest_first(rows)).offset(skip).limit(size)
+        ties = [entry_fingerprint()] if set(ENTRY_COLUMNS) <= set(rows.columns) else []
+        return rows.orderBy(*newest_first(rows), *ties).offset(skip).limit(size)
     keys, left = _seek(rows.select("ts", *ties), skip, size, top_rows)
     found = keys.orderBy(*newest_first(rows)).offset(left).limit(size).collect()
     if not found:
@@ -124,6 +129,11 @@ def get_logs(
     return entry_columns(page_rows(rows, page, size)), row_count(rows)
 
 
+def count_logs(entries: DataFrame, filters: LogFilter | None = None) -> DataFrame:
+    """The number of all rows in the filtered history, without looking for a page."""
+    return row_count((filters or LogFilter()).apply(entries))
+
+
 def sort_page(page: DataFrame, column: str, ascending: bool = True) -> DataFrame:
     """Sort the rows of one page by a column."""
     return page.orderBy(F.asc(column) if ascending else F.desc(column))
@@ -197,17 +207,35 @@ def _descend(
     return high, skip
 
 
+def _find_load(rows: DataFrame, skip: int) -> tuple[str, int]:
+    """The load that the row at ``skip`` lies in, latest first, and how many of its rows
+    come before. Loads are counted by the beginnings of their names, a little longer
+    each time, so that the driver never sees all of them."""
+    start = ""
+    while True:
+        head = F.substring("load_id", 1, len(start) + NAME_STEP)
+        counts = (
+            rows.where(F.startswith("load_id", F.lit(start)))
+            .groupBy(head.alias("start"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("load_id").alias("low"), F.max("load_id").alias("high"))
+            .orderBy(F.desc("start"))
+            .collect()
+        )
+        for start, n, low, high in counts:
+            if skip < n:
+                break
+            skip -= n
+        if low == high:
+            return low, skip
+
+
 def _top_ties(rows: DataFrame, skip: int, fits: Callable[[int], bool]) -> tuple[Column, int]:
     """For rows of one time: those to begin at, and how many of them to skip."""
     ids = rows
     ahead = F.lit(False)
     if "load_id" in tie_break(rows):
         load = F.col("load_id")
-        loads = rows.groupBy("load_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("load_id"))
-        for load_id, n in loads.toLocalIterator():
-            if skip < n:
-                break
-            skip -= n
+        load_id, skip = _find_load(rows, skip)
         ahead = load < load_id
         ids = rows.where(load == load_id)
     low, high = ids.agg(F.min("id"), F.max("id")).first()

@@ -32,13 +32,13 @@ from loglantern.operators import projections as pr
 from loglantern.operators.dedupe import distinct_entries, first_entries
 from loglantern.operators.series import time_series
 from loglantern.plans import dashboard as charts
-from loglantern.plans.adapter import ENTRIES_SQL, RAW_SQL, entries_of, event_stream, events, raw_of
+from loglantern.plans.adapter import ENTRIES_SQL, EVENTS_SCHEMA, RAW_SQL, entries_of, event_stream, events, raw_of
 from loglantern.plans.history import source_options
 from loglantern.schema import ENTRY_COLUMNS
 from loglantern.sources import export, records
 from loglantern.sources.shared import new_dir
 from loglantern.sources.store import EntryStore, deleted_count, survivors
-from loglantern.streaming.live import live_series
+from loglantern.streaming.live import live_level_count, live_series
 from loglantern.streaming.monitor import Monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,7 +159,7 @@ def _incremental_scan(r):
 
 @_raw("levels_available", f"SELECT DISTINCT {LEVEL_SQL} AS level FROM r WHERE logfile = 'Security'")
 def _levels_available(r):
-    return records.levels_available(r, "Security", sample_rows=None)
+    return records.levels_available(r, "Security")
 
 
 @_raw(
@@ -359,7 +359,7 @@ def _page_newest(e):
 
 @_entries("page_total", "SELECT count(*) AS total FROM e WHERE level = 'Error'")
 def _page_total(e):
-    return paging.get_logs(e, page=2, filters=fl.LogFilter(level="Error"))[1]
+    return paging.count_logs(e, fl.LogFilter(level="Error"))
 
 
 @_entries(
@@ -696,6 +696,27 @@ def _json_time(e):
     return e.select("id", text.alias("text"), parse_json_time(text).alias("parsed"))
 
 
+@_entries(
+    "json_time_read",
+    """SELECT id, CASE k WHEN 0 THEN x || '+05:30' WHEN 1 THEN x || 'Z' WHEN 2 THEN strftime(ts, '%Y-%m-%d')
+                      WHEN 3 THEN strftime(ts, '%m/%d/%Y %H:%M:%S') WHEN 4 THEN strftime(ts, '%Y') ELSE x || '?' END AS text,
+           CASE k WHEN 0 THEN ts - INTERVAL '330' MINUTE WHEN 1 THEN ts WHEN 2 THEN date_trunc('day', ts)
+                  WHEN 3 THEN date_trunc('second', ts) END AS parsed
+    FROM (SELECT id, ts, id % 6 AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS x FROM e)""",
+)
+def _json_time_read(e):
+    whole = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = (
+        F.when(F.col("id") % 6 == 0, F.concat(whole, F.lit("+05:30")))
+        .when(F.col("id") % 6 == 1, F.concat(whole, F.lit("Z")))
+        .when(F.col("id") % 6 == 2, F.date_format("ts", "yyyy-MM-dd"))
+        .when(F.col("id") % 6 == 3, F.date_format("ts", "MM/dd/yyyy HH:mm:ss"))
+        .when(F.col("id") % 6 == 4, F.date_format("ts", "yyyy"))
+        .otherwise(F.concat(whole, F.lit("?")))
+    )
+    return e.select("id", text.alias("text"), parse_json_time(text).alias("parsed"))
+
+
 @_entries(
     "chart_labels",
     "SELECT id, CASE WHEN length(message) > 20 THEN message[1:17] || '...' ELSE message END "
@@ -794,6 +815,16 @@ def _store_retention(e):
     return store.read().select(*ENTRY_COLUMNS, "created_at", "session_id")
 
 
+@_entries("store_named_table", f"SELECT {STORED} FROM e WHERE created_at >= {_stamp(CUTOFF)}")
+def _store_named_table(e):
+    store = EntryStore(e.sparkSession, new_dir(e.sparkSession, "store"))
+    name = store.path[-40:].replace("-", "_")
+    store.create_table(name)
+    store.append(e, F.col("session_id"), F.col("created_at"), many_days=True)
+    store.delete_older_than(CUTOFF)
+    return e.sparkSession.table(name).select(*ENTRY_COLUMNS, "created_at", "session_id")
+
+
 @_entries("store_clear", "SELECT count(*) AS deleted, CAST(0 AS BIGINT) AS kept FROM e")
 def _store_clear(e):
     store = _stored(e)
@@ -845,9 +876,14 @@ def _dashboard_bundle(e):
 
 
 def _monitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A monitor over two overlapping files, read in two batches."""
+    inbox = new_dir(spark, "inbox")
+    raw = raw_of(events(spark, sf_dir))
+    for part in (raw.where("record_id % 3 < 2"), raw.where("record_id % 3 > 0")):
+        part.write.mode("append").parquet(inbox)
     store = EntryStore(spark, new_dir(spark, "monitored"))
     watched = Monitor(
-        raw_of(event_stream(spark, sf_dir)),
+        records.stream_records(spark, inbox, maxFilesPerTrigger="1"),
         store,
         channel="System",
         level="error",
@@ -868,19 +904,52 @@ ORACLES["monitor_stream"] = (
 
 
 def _stream_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"series_{new_dir(spark, 'series')[-32:]}"
-    series = live_series(entries_of(event_stream(spark, sf_dir)))
+    """Buckets as the stream updates them; of each, the last state counts."""
+    path = new_dir(spark, "series")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     query = (
-        series.writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
+        live_series(entries_of(event_stream(spark, sf_dir)))
+        .writeStream.outputMode("update")
         .option("checkpointLocation", new_dir(spark, "checkpoint"))
         .trigger(availableNow=True)
+        .foreachBatch(keep)
         .start()
     )
     query.awaitTermination()
-    return spark.table(name)
+    states = spark.read.parquet(path)
+    return states.groupBy("time", "label").agg(F.max_by("count", "batch").alias("count"))
 
 
+def _stream_session_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running count over files read in batches; the last state counts."""
+    inbox, path = new_dir(spark, "inbox"), new_dir(spark, "counts")
+    for half in (0, 1):
+        events(spark, sf_dir).where(F.col("event_id") % 2 == half).write.mode("append").parquet(inbox)
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(inbox)
+    query = (
+        live_level_count(entries_of(stream), "error")
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", new_dir(spark, "checkpoint"))
+        .trigger(availableNow=True)
+        .foreachBatch(keep)
+        .start()
+    )
+    query.awaitTermination()
+    states = spark.read.parquet(path)
+    return states.groupBy("session_id").agg(F.max_by("count", "batch").alias("count"))
+
+
+QUERIES["stream_session_count"] = _stream_session_count
+ORACLES["stream_session_count"] = (
+    f"WITH e AS ({ENTRIES_SQL}) SELECT session_id, count(*) AS count FROM e WHERE upper(level) = 'ERROR' GROUP BY 1"
+)
+
 QUERIES["stream_series"] = _stream_series
 ORACLES["stream_series"] = ORACLES["series_hour"]

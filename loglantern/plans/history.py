@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loglantern.functions.times import HOUR
 from loglantern.operators import aggregates
 from loglantern.operators.filters import LogFilter, in_scope, keep, unless_blank, unless_empty
-from loglantern.operators.paging import DEFAULT_PAGE_SIZE, get_logs
+from loglantern.operators.paging import DEFAULT_PAGE_SIZE, count_logs, get_logs
 from loglantern.operators.series import time_series
 from loglantern.plans import dashboard as charts
 from loglantern.sources.export import export_session
@@ -41,6 +41,9 @@ class History:
     ) -> tuple[DataFrame, DataFrame]:
         return get_logs(self.entries, page, size, filters)
 
+    def count_logs(self, filters: LogFilter | None = None) -> DataFrame:
+        return count_logs(self.entries, filters)
+
     def session_ids(self) -> DataFrame:
         return aggregates.sessions(self.entries)
 
@@ -99,8 +102,15 @@ class History:
     def has_records(self) -> bool:
         return not self.entries.isEmpty()
 
-    def export_session(self, session_id: str, base: str, fmt: str = "txt") -> str | None:
-        return export_session(self.entries, session_id, base, fmt)
+    def export_session(
+        self,
+        session_id: str,
+        base: str,
+        fmt: str = "txt",
+        legacy_json: bool = False,
+        zone: str | None = None,
+    ) -> str | None:
+        return export_session(self.entries, session_id, base, fmt, legacy_json, zone)
 
 
 def source_options(entries: DataFrame, session_id: str | None = None) -> DataFrame:

@@ -46,25 +46,34 @@ def stream_records(
     path: str,
     fmt: str = "parquet",
     schema: T.StructType = RAW_SCHEMA,
+    skip_unreadable: bool = False,
     **options: str,
 ) -> DataFrame:
     """Raw records of a growing directory. Each file is read once; the position
     is kept in the checkpoint. ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``
-    bound a batch."""
-    options.setdefault("ignoreMissingFiles", "true")
-    return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
+    bound a batch. ``skip_unreadable`` gives up files that are damaged or vanish
+    before they are read; by default these fail the batch, which can be tried again."""
+    tolerant = str(skip_unreadable).lower()
+    return (
+        spark.readStream.format(fmt)
+        .schema(schema)
+        .options(ignoreMissingFiles=tolerant, ignoreCorruptFiles=tolerant, **options)
+        .load(path)
+    )
 
 
-def _names(spark: SparkSession, column: str, values: list[str]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(column))
+def _or_default(names: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """The few distinct names found, or the usual ones when there are none: in one
+    plan, so the records are read once."""
+    found = names.agg(F.collect_set(column).alias("found"))
+    usual = F.array(*map(F.lit, values))
+    return found.select(F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(usual)).alias(column))
 
 
 def channels(records: DataFrame) -> DataFrame:
     """Channel names in use, in order; the usual three when there are none."""
     names = records.select("logfile").where(trim_blanks(F.col("logfile")) != "").distinct()
-    if names.isEmpty():
-        names = _names(records.sparkSession, "logfile", DEFAULT_CHANNELS)
-    return names.orderBy("logfile")
+    return _or_default(names, "logfile", DEFAULT_CHANNELS).orderBy("logfile")
 
 
 def channel_records(records: DataFrame, channel: str) -> DataFrame:
@@ -100,18 +109,16 @@ def advance_mark(
 def levels_available(
     records: DataFrame,
     channel: str,
-    sample_rows: int | None = LEVEL_SAMPLE_ROWS,
+    sample_rows: int | None = None,
     fuzzy: str = "compat",
 ) -> DataFrame:
     """Levels in use in a channel, by priority; its usual ones when it is empty.
 
-    By default only the first records are looked at, as any that come first;
-    ``sample_rows=None`` looks at all of them.
+    All records are looked at; ``sample_rows`` (such as ``LEVEL_SAMPLE_ROWS``) looks
+    at so many only, whichever come first.
     """
     rows = channel_records(records, channel)
     if sample_rows is not None:
         rows = rows.select("event_type", "type").limit(sample_rows)
     levels = rows.select(raw_level(records, fuzzy).alias("level")).distinct()
-    if rows.isEmpty():
-        levels = _names(records.sparkSession, "level", default_levels(channel))
-    return levels.orderBy(level_priority(F.col("level")), "level")
+    return _or_default(levels, "level", default_levels(channel)).orderBy(level_priority(F.col("level")), "level")

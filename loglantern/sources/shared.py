@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(SHARED_DIR, None) or context.getConf().get(SHARED_DIR)
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError(f"set {SHARED_DIR} to a folder all executors can reach")
     spark.conf.set(SHARED_DIR, tempfile.mkdtemp(prefix="loglantern-"))
     return spark.conf.get(SHARED_DIR)

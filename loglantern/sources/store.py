@@ -14,11 +14,19 @@ from loglantern.operators.projections import stamp_entries
 from loglantern.schema import STORE_PARTITIONS, STORE_SCHEMA, ntz
 
 # Columns whose equality filters skip row groups by Bloom filter.
-BLOOM_COLUMNS = ("source", "event_code")
+BLOOM_COLUMNS = ("source", "event_code", "session_id")
 
 # Names that stand in a directory name as they are.
 LOAD_NAME = r"[A-Za-z0-9._-]+"
 
+PARTITIONS_IN_CATALOG = "spark.sql.hive.manageFilesourcePartitions"
+
+# Names given to the table at a path, to be refreshed when it changes.
+_TABLES: dict[str, set[str]] = {}
+
+# Ends the name of a load that holds what retention kept of the load named before it.
+KEPT = ".kept"
+
 
 def new_load_id() -> str:
     """A load name that sorts by the time of the load."""
@@ -53,12 +61,31 @@ class EntryStore:
         self._write(self._empty(), "ignore")
 
     def create_table(self, name: str) -> None:
-        """Name the table in the catalog; does nothing when the name is there."""
+        """Name the table in the catalog; does nothing when the name is there.
+
+        The name lists the directories itself, so no load has to be registered. What
+        this session has listed is listed anew after every change by a store here;
+        other sessions see changes after ``REFRESH TABLE``.
+        """
         self.create()
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} ({STORE_SCHEMA.toDDL()}) USING parquet "
-            f"PARTITIONED BY ({', '.join(STORE_PARTITIONS)}) LOCATION '{self.path}'"
-        )
+        quoted = ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))
+        path = self.path.replace("\\", "\\\\").replace("'", "\\'")
+        before = self.spark.conf.get(PARTITIONS_IN_CATALOG)
+        self.spark.conf.set(PARTITIONS_IN_CATALOG, "false")
+        try:
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {quoted} ({STORE_SCHEMA.toDDL()}) USING parquet "
+                f"PARTITIONED BY ({', '.join(STORE_PARTITIONS)}) LOCATION '{path}'"
+            )
+        finally:
+            self.spark.conf.set(PARTITIONS_IN_CATALOG, before)
+        _TABLES.setdefault(self.path, set()).add(quoted)
+        self._changed()
+
+    def _changed(self) -> None:
+        for name in _TABLES.get(self.path, ()):
+            if self.spark.catalog.tableExists(name):
+                self.spark.catalog.refreshTable(name)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
@@ -81,8 +108,10 @@ class EntryStore:
         same ``load_id`` and ``created_at`` again.
         """
         load_id = new_load_id() if load_id is None else load_id
-        if not re.fullmatch(LOAD_NAME, load_id):
-            raise ValueError(f"a load name has letters, digits and ._- only, not {load_id!r}")
+        if not re.fullmatch(LOAD_NAME, load_id) or load_id.endswith(KEPT):
+            raise ValueError(
+                f"a load name has letters, digits and ._- only and does not end in {KEPT}, not {load_id!r}"
+            )
         created_at = utc_now() if created_at is None else created_at
         stamped = stamp_entries(entries, created_at, session_id)
         rows = stamped.withColumns(
@@ -103,53 +132,66 @@ class EntryStore:
             .observe(written, F.count(F.lit(1)).alias("rows"))
         )
         self._write(rows, "overwrite", "dynamic")
+        self._changed()
         return written.get["rows"]
 
     def delete_older_than(self, cutoff: datetime) -> int:
         """Delete rows stored before ``cutoff`` (UTC) and return how many.
 
-        Older days go as whole directories and only loads that straddle the
-        cutoff are rewritten. A broken run is finished by running it again.
+        Older days go as whole directories and only loads that straddle the cutoff are
+        rewritten: what is kept of a load is written beside it under a name of its own,
+        and only then the load goes. A run that breaks in between leaves every row; it
+        is finished by running it again, which first drops copies whose load is there.
         """
-        rows = self.read()
+        self._drop(self._half_done())
         day = F.lit(cutoff.date())
-        older = rows.where(F.col("ingest_date") < day).count()
         kept = F.col("created_at") >= ntz(cutoff)
-        boundary = rows.where(F.col("ingest_date") == day)
+        rows = self.read().where(F.col("ingest_date") <= day)
+        # one pass: a row for each load of the cutoff's day and one for all days before
         loads = (
-            boundary.groupBy("load_id")
-            .agg(F.count_if(~kept).alias("old"), F.count_if(kept).alias("young"))
-            .where("old > 0")
+            rows.groupBy(F.when(F.col("ingest_date") == day, F.col("load_id")).alias("load_id"))
+            .agg(F.count_if(~kept).alias("old"), F.count_if(kept).alias("young"), F.count(F.lit(1)).alias("rows"))
+            .where("load_id IS NULL OR old > 0")
             .collect()
         )
-        mixed = [load.load_id for load in loads if load.young]
+        boundary = {load.load_id: load for load in loads if load.load_id is not None}
+        mixed = [name for name, load in boundary.items() if load.young]
         if mixed:
-            self._write(
-                boundary.where(F.col("load_id").isin(mixed) & kept), "overwrite", "dynamic"
-            )
-        gone = [
-            f"ingest_date={cutoff.date()}/load_id={load.load_id}"
-            for load in loads
-            if not load.young
-        ]
-        self._drop_directories(lambda name: name < f"ingest_date={cutoff.date()}", gone)
-        return older + sum(load.old for load in loads)
-
-    def _drop_directories(self, is_old, named: list[str]) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        files = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        days = files.globStatus(hadoop.Path(root, "ingest_date=*"))
-        for status in days:
-            if is_old(status.getPath().getName()):
-                files.delete(status.getPath(), True)
-        for name in named:
-            files.delete(hadoop.Path(root, name), True)
+            young = rows.where((F.col("ingest_date") == day) & F.col("load_id").isin(mixed) & kept)
+            self._write(young.withColumn("load_id", F.concat("load_id", F.lit(KEPT))), "overwrite", "dynamic")
+        self._drop(f"ingest_date={cutoff.date()}/load_id={name}" for name in boundary)
+        self._drop(name for name in self._names("ingest_date=*") if name < f"ingest_date={cutoff.date()}")
+        self._changed()
+        return sum(load.rows if load.load_id is None else load.old for load in loads)
+
+    def _half_done(self) -> list[str]:
+        """Copies made by a broken retention: the load they stand for is still there."""
+        copies = self._names(f"ingest_date=*/load_id=*{KEPT}")
+        there = set(self._names("ingest_date=*/load_id=*")) if copies else set()
+        return [name for name in copies if name.removesuffix(KEPT) in there]
+
+    def _files(self):
+        """The root as a Hadoop path and its file system; needs a classic session."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root, root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _names(self, pattern: str) -> list[str]:
+        """Directories that fit, relative to the root."""
+        root, files = self._files()
+        depth = pattern.count("/") + 1
+        found = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(root, pattern))
+        return ["/".join(s.getPath().toString().split("/")[-depth:]) for s in found or []]
+
+    def _drop(self, names) -> None:
+        root, files = self._files()
+        for name in names:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(root, name), True)
 
     def clear(self) -> int:
         """Delete everything and return how many rows there were."""
         n = self.read().count()
         self._write(self._empty(), "overwrite")
+        self._changed()
         return n
 
 

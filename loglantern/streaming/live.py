@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +20,17 @@ from loglantern.functions.times import (
     time_bucket,
     time_range,
 )
+from loglantern.operators.aggregates import session_level_counts
 from loglantern.operators.filters import level_matches, recent
 from loglantern.operators.projections import raw_to_entries
 from loglantern.schema import ENTRY_COLUMNS, ntz
 from loglantern.sources.records import channel_records
 
 
+# Wall clocks may be set back by so much; entries stamped afterwards are not late.
+CLOCK_SHIFT = timedelta(hours=2)
+
+
 def _seconds(span: timedelta) -> str:
     return f"{span // timedelta(seconds=1)} seconds"
 
@@ -33,7 +39,7 @@ def _fold_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop copies inside each Arrow batch, so that a hot entry is not shuffled
     once for every copy of it."""
     for batch in batches:
-        rows = pa.table({"key": batch.column("fp"), "row": pa.array(range(batch.num_rows))})
+        rows = pa.table({"key": batch.column("fp"), "row": pa.array(np.arange(batch.num_rows))})
         first = rows.group_by("key").aggregate([("row", "min")]).column("row_min")
         yield batch if len(first) == batch.num_rows else batch.take(first.combine_chunks())
 
@@ -63,7 +69,7 @@ def new_entries(
     if fold_copies:
         keyed = keyed.mapInArrow(_fold_copies, keyed.schema)
     return (
-        keyed.withWatermark("event_time", _seconds(span))
+        keyed.withWatermark("event_time", _seconds(span + CLOCK_SHIFT))
         .dropDuplicatesWithinWatermark(["fp"])
         .drop("fp", "event_time")
     )
@@ -92,6 +98,12 @@ def monitored_entries(
     return new_entries(kept, span, now, fold_copies).select(*ENTRY_COLUMNS)
 
 
+def live_level_count(entries: DataFrame, level: str) -> DataFrame:
+    """How many entries of one level each session of a stream has so far: one row of
+    state per session. Use output mode update or complete."""
+    return session_level_counts(entries, level)
+
+
 def live_series(
     entries: DataFrame, width: timedelta = HOUR, lateness: timedelta | None = None
 ) -> DataFrame:

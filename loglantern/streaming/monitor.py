@@ -27,7 +27,9 @@ POLL_INTERVAL = "1 second"
 RETRY_DELAY_SECONDS = 5.0
 
 # Names in an error that tell of a failed or refused read, which is tried again.
-READ_ERRORS = ("java.io.", "FileNotFoundException", "AccessControlException", "AccessDenied")
+READ_ERRORS = (
+    "FAILED_READ_FILE", "FileNotFoundException", "EOFException", "AccessControlException", "AccessDenied",
+)
 
 # ----------------------------------------------------------------------------
 
@@ -110,6 +112,7 @@ class Monitor:
         self.session_id: str | None = None
         self.query: StreamingQuery | None = None
         self._listener: _Events | None = None
+        self._counted: tuple[int, int, int] | None = None
 
     @property
     def is_monitoring(self) -> bool:
@@ -127,6 +130,7 @@ class Monitor:
         spark = self.store.spark
         self.store.create()
         self.session_id = resume or monitor_session_id(self.channel)
+        self._counted = None
         root = self.checkpoint_root or shared_dir(spark)
         if self._listener is None:
             self._listener = _Events(self)
@@ -162,9 +166,28 @@ class Monitor:
         finally:
             if both:
                 batch.unpersist()
+        self._count(number, load_id, stored)
         if stored:
             self.on_changed(number, stored)
 
+    def _count(self, number: int, load_id: str, stored: int) -> None:
+        """Adds a batch to the running count; one that is repeated replaces itself. Only
+        the first batch after a start looks into the store."""
+        if self._counted is None:
+            mine = session_is(self.session_id) & (F.col("load_id") != load_id)
+            before = self.store.read().where(mine).count() if number else 0
+        elif self._counted[0] == number:
+            before = self._counted[1]
+        else:
+            before = self._counted[1] + self._counted[2]
+        self._counted = (number, before, stored)
+
+    @property
+    def running_count(self) -> int:
+        """Entries stored in this session up to the last batch, from the counts of the
+        batches; what retention deletes meanwhile stays counted."""
+        return self._counted[1] + self._counted[2] if self._counted else self.session_count()
+
     def stop(self) -> None:
         if self.is_monitoring:
             self.query.stop()

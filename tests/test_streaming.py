@@ -137,7 +137,7 @@ def test_monitor_stores_what_is_new(spark, raw, inbox, tmp_path):
     drop(raw)
     monitor.run(resume=session, once=True)
     assert stored(monitor) == expected(raw)
-    assert monitor.session_count() == len(expected(raw))
+    assert monitor.session_count() == monitor.running_count == len(expected(raw))
     assert {r[0] for r in monitor.store.read().select("session_id").distinct().collect()} == {session}
     time.sleep(1)
     monitor.close()
@@ -226,7 +226,7 @@ def test_failed_reads_are_tried_again(spark, raw, inbox, tmp_path, monkeypatch):
     def failing(*args, **kwargs):
         tries.append(kwargs["load_id"])
         if len(tries) < 3:
-            raise OSError("java.io.IOException: share is gone")
+            raise OSError("java.io.FileNotFoundException: share is gone")
         return append(*args, **kwargs)
 
     monkeypatch.setattr(monitor.store, "append", failing)
@@ -243,6 +243,30 @@ def test_failed_reads_are_tried_again(spark, raw, inbox, tmp_path, monkeypatch):
     monitor.close()
 
 
+def test_vanished_files_are_not_skipped(spark, raw, inbox, tmp_path, monkeypatch):
+    """A file that goes between listing and reading fails the batch; nothing is lost."""
+    drop, stream = inbox
+    drop(raw)
+    monitor = watched(spark, tmp_path, stream)
+    append, hidden = monitor.store.append, []
+
+    def failing(*args, **kwargs):
+        if hidden:
+            return append(*args, **kwargs)
+        for file in (tmp_path / "inbox").glob("*.parquet"):
+            hidden.append((file, file.rename(tmp_path / file.name)))
+        try:
+            return append(*args, **kwargs)
+        finally:
+            for file, away in hidden:
+                away.rename(file)
+
+    monkeypatch.setattr(monitor.store, "append", failing)
+    monitor.run(once=True, retry_delay=0.1)
+    monitor.close()
+    assert hidden and stored(monitor) == expected(raw)
+
+
 def test_recency_follows_the_clock(spark, raw, inbox, tmp_path):
     drop, stream = inbox
     drop(raw)

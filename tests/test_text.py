@@ -96,6 +96,14 @@ def test_labels(spark):
     assert got == ["x" * 20, "abcdefghijklmnopq...", "", None]
 
 
+def test_labels_count_utf16_units(spark):
+    texts = ["\U0001f600" * 10, "\U0001f600" * 11, "é" * 20, "é" * 21, "a" + "\U0001f600" * 10]
+    frame = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = [r[0] for r in frame.select(tx.short_label(F.col("x"))).collect()]
+    smile = "\U0001f600"
+    assert got == [smile * 10, smile * 8 + "...", "é" * 20, "é" * 17 + "...", "a" + smile * 8 + "..."]
+
+
 def test_safe_file_name(spark):
     frame = spark.createDataFrame([('a<b>c:d"e/f\\g|h?i*j\x01k',)], "x string")
     assert frame.select(tx.safe_file_name(F.col("x"))).first()[0] == "a_b_c_d_e_f_g_h_i_j_k"

@@ -106,6 +106,30 @@ def test_json_time(spark):
     ]
 
 
+def test_json_times_of_others(spark):
+    texts = {
+        "2024-01-01T10:00:00+05:00": datetime(2024, 1, 1, 5),
+        "2024-01-01T10:00:00Z": datetime(2024, 1, 1, 10),
+        "2024-01-01": datetime(2024, 1, 1),
+        "01/02/2024 10:00:00": datetime(2024, 1, 2, 10),
+        "2024": None, "2024-01": None, "": None, "2024-13-01T00:00:00": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert {r[0]: r[1] for r in rows.select("x", tm.parse_json_time(F.col("x"))).collect()} == texts
+    berlin = rows.where("x LIKE '%Z'").select(tm.parse_json_time(F.col("x"), "Europe/Berlin"))
+    assert berlin.first()[0] == datetime(2024, 1, 1, 11)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin", "America/New_York"])
+def test_utc_now_is_the_instant(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        row = spark.range(1).select(tm.utc_now().alias("now"), F.unix_micros(F.current_timestamp()).alias("us")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert (row.now - datetime(1970, 1, 1)) // timedelta(microseconds=1) == row.us
+
+
 def test_event_time_shows_the_wall_clock(spark, moments):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
