@@ -818,7 +818,7 @@ def _store_retention(e):
 @_entries("store_named_table", f"SELECT {STORED} FROM e WHERE created_at >= {_stamp(CUTOFF)}")
 def _store_named_table(e):
     store = EntryStore(e.sparkSession, new_dir(e.sparkSession, "store"))
-    name = store.path[-40:].replace("-", "_")
+    name = store.path.rsplit("/", 1)[-1].replace("-", "_")
     store.create_table(name)
     store.append(e, F.col("session_id"), F.col("created_at"), many_days=True)
     store.delete_older_than(CUTOFF)
