@@ -11,8 +11,12 @@ as far as the range reaches. What is found is verified by the cosine in double p
 
 Pairs are not expanded across tasks: a task counts its links and sends one edge per vector
 to a spanning tree of what it linked. A pair that shares two shards counts in the first.
-The recall of the search is audited on ``AUDIT`` vectors, picked by hash, against all
-rows; below ``RECALL`` the overlap grows and the search is run again.
+The recall of the search is audited on vectors picked by hash, against all rows: ``AUDIT``
+of them, and more until enough groups are among those with links. It is the mean over these
+vectors or, if lower, the mean over their groups, so neither a dense group nor many small
+ones hide what the others miss. Below ``RECALL`` the overlap grows and the search is run
+again; below ``LEAST_RECALL`` at the last overlap the query fails. The recall is a column of
+the result, null where no audited vector has a link but not all were audited.
 
 Exact copies are folded first: they are one node of the graph with a weight.
 
@@ -42,9 +46,12 @@ MAX_OVERLAP = 8
 SAMPLE = 20_000  # vectors that centroids are fitted on, and
 MAX_CENTROIDS = 2048  # at most so many: what every task holds
 NEIGHBOURS, POOL, ALPHA, BEAM = 16, 48, 1.2, 24
-AUDIT, RECALL = 200, 0.95
+AUDIT, MAX_AUDIT, GROUPS = 200, 3200, 50  # vectors audited at first, at most, and groups wanted
+RECALL, LEAST_RECALL = 0.95, 0.9  # what is aimed at, and below which there is no result
 SEED = 3
 
+_LINKS = "node long, links long, others long, tree long"
+
 
 # --- centroids ------------------------------------------------------------------------
 
@@ -232,7 +239,7 @@ def _search_task(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
     linked[a, b] = linked[b, a] = True
     counts = linked @ weight.astype(np.float64)
     has = np.flatnonzero(linked.any(1))
-    return pd.DataFrame({"node": node[has], "links": counts[has].astype(np.int64), "tree": node[_trees(linked)[has]]})
+    return pd.DataFrame({"node": node[has], "links": counts[has].astype(np.int64), "others": linked.sum(1)[has], "tree": node[_trees(linked)[has]]})
 
 
 # --- the operator ------------------------------------------------------------------------
@@ -282,12 +289,13 @@ def _assign(nodes: DataFrame, centroids: dict[int, np.ndarray], overlap: int) ->
 
 
 def link(nodes: DataFrame, overlap: int, cosine: float) -> DataFrame:
-    """node, links, tree: links found per task and node, and edges of forests."""
+    """node, links, others, tree: links found per task and node, with copies counted and
+    without, and edges of forests."""
     sizes = nodes.groupBy(F.length("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").limit(64).collect()
     centroids = {r["size"]: fit_centroids(nodes.where(F.length("v") == r["size"]), r.n) for r in sizes}
     centroids = {size: c for size, c in centroids.items() if len(c)}
     if not centroids:
-        return nodes.sparkSession.createDataFrame([], "node long, links long, tree long")
+        return nodes.sparkSession.createDataFrame([], _LINKS)
     assigned = saved(_assign(nodes.where(F.length("v").isin([int(s) for s in centroids])), centroids, overlap), "vectors-shards")
     placed = assigned.withColumn("shard", F.explode(F.array_distinct("shards")))
     blocks = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -303,32 +311,57 @@ def link(nodes: DataFrame, overlap: int, cosine: float) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     tasks = placed.join(united, "node").select("node", "weight", "v", "near", "shards", "shard", "block", other)
     tasks = tasks.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("other")
-    return tasks.groupBy("shard", "left", "right").applyInPandas(lambda pdf: _search_task(pdf, cosine), "node long, links long, tree long")
+    return tasks.groupBy("shard", "left", "right").applyInPandas(lambda pdf: _search_task(pdf, cosine), _LINKS)
 
 
-def audit(nodes: DataFrame, found: DataFrame, n: int, cosine: float) -> float:
-    """Share of the links of ``AUDIT`` vectors, by brute force over all, that were found."""
-    asked = nodes.where(_share("node", "weight") < AUDIT / max(1, n)).select("node", "v", "weight").orderBy("node").limit(2 * AUDIT).collect()
-    if not asked:
-        return 1.0
+def _true_links(nodes: DataFrame, n: int, asked: int, cosine: float) -> dict[int, int]:
+    """About ``asked`` nodes with the number of others each links with, by brute force."""
+    drawn = nodes.where(_share("node") < asked / max(1, n)).select("node", "v").orderBy("node").limit(2 * asked).collect()
     by_size: dict[int, list] = {}
-    for r in asked:
+    for r in drawn:
         by_size.setdefault(len(r.v), []).append(r)
     known = nodes.sparkSession.sparkContext.broadcast({s: (np.array([r.node for r in rs]), _matrix([r.v for r in rs])) for s, rs in by_size.items()})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sizes = pdf.v.map(len).to_numpy()
-            for size, (node, target) in known.value.items():
-                at = np.flatnonzero(sizes == size)
-                near = (_matrix(list(pdf.v.iloc[at])) @ target.T >= cosine) if len(at) else np.zeros((0, len(node)), bool)
-                near &= pdf.node.to_numpy()[at][:, None] != node[None, :]
-                yield pd.DataFrame({"node": node, "true": pdf.weight.to_numpy()[at].astype(np.float64) @ near})
+            for size in np.unique(sizes):
+                if size not in known.value:
+                    continue
+                node, target = known.value[size]
+                at, true = np.flatnonzero(sizes == size), np.zeros(len(node), np.int64)
+                for i in range(0, len(at), 1000):
+                    x = pdf.iloc[at[i : i + 1000]]
+                    near = _matrix(list(x.v)) @ target.T >= cosine
+                    true += (near & (x.node.to_numpy()[:, None] != node[None, :])).sum(0)
+                yield pd.DataFrame({"node": node[true > 0], "true": true[true > 0]})
 
-    true = nodes.mapInPandas(count, "node long, true double").groupBy("node").agg(F.sum("true").alias("true"))
-    got = found.groupBy("node").agg(F.sum("links").alias("links"))
-    sums = true.join(got, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("g")).first()
-    return sums.g / sums.t if sums.t else 1.0
+    sums = nodes.select("node", "v").mapInPandas(count, "node long, true long").groupBy("node").agg(F.sum("true").alias("true")).collect()
+    return {r.node: 0 for r in drawn} | {r.node: r.true for r in sums}
+
+
+def truth(nodes: DataFrame, n: int, cosine: float) -> dict[int, int]:
+    """Audited nodes: more of them until those with links lie in ``GROUPS`` groups or so."""
+    asked = AUDIT
+    while True:
+        true = _true_links(nodes, n, asked, cosine) if n else {}
+        share = np.array([1 / (1 + t) for t in true.values() if t])
+        if asked >= min(n, MAX_AUDIT) or (len(share) and share.sum() ** 2 / (share**2).sum() >= GROUPS):
+            return true
+        asked *= 4
+
+
+def audit(true: dict[int, int], found: DataFrame, n: int) -> float | None:
+    """The recall of the links of audited nodes: mean over nodes or over groups, the lower."""
+    linked = {node: t for node, t in true.items() if t}
+    if not linked:
+        return 1.0 if len(true) == n else None
+    asked = found.sparkSession.createDataFrame([(node,) for node in linked], "asked long")
+    sums = found.join(F.broadcast(asked), F.col("node") == F.col("asked")).groupBy("node").agg(F.sum("others").alias("others")).collect()
+    got = {r.node: r.others for r in sums}
+    each = np.array([min(1.0, got.get(node, 0) / t) for node, t in linked.items()])
+    share = np.array([1 / (1 + t) for t in linked.values()])  # a group of t + 1 counts once
+    return float(min(each.mean(), each @ share / share.sum()))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -340,13 +373,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # ids that several different vectors share are told apart inside by their content
     nodes = nodes.withColumn("node", F.col("node"))
     n = nodes.count()
-    overlap, recall = OVERLAP, 0.0
+    overlap, true = OVERLAP, truth(nodes, n, cosine)
     while True:
         found = saved(link(nodes, overlap, cosine), "vectors-links")
-        recall = audit(nodes, found, n, cosine)
-        if recall >= RECALL or overlap >= MAX_OVERLAP:
+        recall = audit(true, found, n)
+        if recall is None or recall >= RECALL or overlap >= MAX_OVERLAP:
             break
         overlap *= 2
+    if recall is not None and recall < LEAST_RECALL:
+        raise RuntimeError(f"the search finds {recall:.3f} of the audited links at overlap {overlap}, less than {LEAST_RECALL}")
     node_of = whole.join(nodes.select("node", "weight", F.col("v").alias("nv")), F.col("v") == F.col("nv")).select("vec_id", "name", "node", "weight")
     edges = found.select(F.col("node").alias("a"), F.col("tree").alias("b")).union(node_of.select(F.col("name").alias("a"), F.col("node").alias("b")))
     classes = components(edges).withColumnRenamed("node", "member")
@@ -360,12 +395,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         "n_links",
         F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"),
         (F.col("name") == F.col("component_id")).alias("kept"),
-        F.lit(float(recall)).alias("recall"),
+        F.lit(recall).cast("double").alias("recall"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings")).drop("recall")
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 SQL = None  # cosines in doubles differ in the last bits; tests compare with brute force

@@ -65,6 +65,27 @@ def test_odd_rows(spark):
     assert sorted((r.n_links, r.component_id) for r in vectors.near_vectors(nameless).collect()) == [(1, 4), (1, 4)]
 
 
+def test_lost_small_groups_fail_beside_a_dense_one(spark, monkeypatch):
+    """The links of a dense group are nearly all there are: a search that finds no other
+    must not pass."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [1.0] + [float(x) for x in 0.02 * rng.normal(size=15)]) for i in range(60)]
+    for i in range(100, 140, 2):
+        x = rng.normal(size=16)
+        rows += [(i, [float(v) for v in x]), (i + 1, [float(v) for v in x + 0.01 * rng.normal(size=16)])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert vectors.near_vectors(frame).first().recall >= vectors.RECALL
+    whole = vectors.link
+    monkeypatch.setattr(vectors, "link", lambda *args: whole(*args).where("links > 1"))
+    with pytest.raises(RuntimeError, match="audited links"):
+        vectors.near_vectors(frame)
+
+
+def test_recall_is_a_column_of_the_query(spark, sf_dir):
+    out = vectors.query(spark, sf_dir)
+    assert out.columns == ["vec_id", "n_links", "component_id", "kept", "recall"] and out.first().recall >= vectors.LEAST_RECALL
+
+
 def test_pruned_graph_is_searchable():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16))
