@@ -18,13 +18,15 @@ ones hide what the others miss. Below ``RECALL`` the overlap grows and the searc
 again; below ``LEAST_RECALL`` at the last overlap the query fails. The recall is a column of
 the result, null where no audited vector has a link but not all were audited.
 
-Exact copies are folded first: they are one node of the graph with a weight.
+Exact copies are folded first: they are one node of the graph with a weight. A node is
+named by a hash of its content; ids only name components, at the end.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing, nor do vectors of other lengths with each other; rows with one vec_id
-count as a vector each and share a component; a null vec_id gets a row, and no component of
-its own to name but that of its links; ties do not matter; of no rows come none; labels
-and other columns do not matter.
+count as a vector each and share a component; a null vec_id gets a row, is a vector of its
+own and has no component to name but that of its links, and where these are null too, one
+vector of them is kept; ties do not matter; of no rows come none; labels and other columns
+do not matter.
 """
 
 from __future__ import annotations
@@ -364,15 +366,25 @@ def audit(true: dict[int, int], found: DataFrame, n: int) -> float | None:
     return float(min(each.mean(), each @ share / share.sum()))
 
 
+def _nodes(whole: DataFrame) -> tuple[DataFrame, int, int]:
+    """node, weight, name (the smallest vec_id), v of every distinct vector, their number,
+    and the seed of the hash that names each of them differently."""
+    folded = saved(whole.groupBy("v").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("name")), "vectors-folded")
+    seed = SEED
+    while True:
+        nodes = saved(folded.select(F.xxhash64("v", F.lit(seed)).alias("node"), "weight", "name", "v"), "vectors-nodes")
+        n, different = nodes.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
+        if n == different:
+            return nodes, n, seed
+        seed += 1
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept and the audited recall of each row."""
     rows = saved(unit_vectors(vectors), "vectors-unit")
-    ids = rows.withColumn("name", F.coalesce("vec_id", F.lit(2**63 - 1)))
-    whole = ids.where(F.col("v").isNotNull())
-    nodes = saved(whole.groupBy("v").agg(F.min("name").alias("node"), F.count(F.lit(1)).alias("weight")).groupBy("node", "v").agg(F.sum("weight").alias("weight")).select("node", "weight", "v"), "vectors-nodes")
-    # ids that several different vectors share are told apart inside by their content
-    nodes = nodes.withColumn("node", F.col("node"))
-    n = nodes.count()
+    whole = rows.where(F.col("v").isNotNull())
+    named, n, seed = _nodes(whole)
+    nodes = named.select("node", "weight", "v")
     overlap, true = OVERLAP, truth(nodes, n, cosine)
     while True:
         found = saved(link(nodes, overlap, cosine), "vectors-links")
@@ -382,21 +394,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         overlap *= 2
     if recall is not None and recall < LEAST_RECALL:
         raise RuntimeError(f"the search finds {recall:.3f} of the audited links at overlap {overlap}, less than {LEAST_RECALL}")
-    node_of = whole.join(nodes.select("node", "weight", F.col("v").alias("nv")), F.col("v") == F.col("nv")).select("vec_id", "name", "node", "weight")
-    edges = found.select(F.col("node").alias("a"), F.col("tree").alias("b")).union(node_of.select(F.col("name").alias("a"), F.col("node").alias("b")))
-    classes = components(edges).withColumnRenamed("node", "member")
+    node_of = whole.select("vec_id", F.xxhash64("v", F.lit(seed)).alias("node"))
+    # the vectors of one id are joined with the first of them
+    ids = node_of.where(F.col("vec_id").isNotNull())
+    first = ids.groupBy("vec_id").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b < z").select(F.col("vec_id").alias("i"), "b")
+    shared = ids.join(first, F.col("vec_id") == F.col("i")).select(F.col("node").alias("a"), "b")
+    classes = components(found.select(F.col("node").alias("a"), F.col("tree").alias("b")).union(shared)).withColumnRenamed("node", "member")
     sums = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "linked")
-    out = node_of.join(sums, F.col("node") == F.col("linked"), "left").join(classes, F.col("name") == F.col("member"), "left")
-    linked = out.select("vec_id", "name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "name").alias("component_id"))
-    lone = ids.where(F.col("v").isNull()).select("vec_id", "name", F.lit(0).cast("long").alias("n_links"), F.col("name").alias("component_id"))
-    every = linked.union(lone)
-    return every.select(
-        "vec_id",
-        "n_links",
-        F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"),
-        (F.col("name") == F.col("component_id")).alias("kept"),
-        F.lit(recall).cast("double").alias("recall"),
-    )
+    facts = named.drop("v").join(sums, F.col("node") == F.col("linked"), "left").join(classes, F.col("node") == F.col("member"), "left")
+    facts = saved(facts.select("node", "name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "vectors-facts")
+    names = facts.groupBy("component").agg(F.min("name").alias("component_id")).withColumnRenamed("component", "c")
+    facts = facts.join(names, F.col("component") == F.col("c")).select(F.col("node").alias("n"), "n_links", "component_id", (F.col("node") == F.col("component")).alias("head"))
+    kept = F.when(F.col("component_id").isNull(), F.col("head")).otherwise(F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    linked = node_of.join(facts, F.col("node") == F.col("n")).select("vec_id", "n_links", "component_id", kept.alias("kept"))
+    lone = rows.where(F.col("v").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.union(lone).withColumn("recall", F.lit(recall).cast("double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

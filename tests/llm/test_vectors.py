@@ -86,6 +86,18 @@ def test_recall_is_a_column_of_the_query(spark, sf_dir):
     assert out.columns == ["vec_id", "n_links", "component_id", "kept", "recall"] and out.first().recall >= vectors.LEAST_RECALL
 
 
+def test_vectors_without_or_with_one_id_stay_apart(spark):
+    rows = [
+        (None, [1.0, 0.0]), (None, [0.0, 1.0]), (4, [1.0, 0.1]), (5, [0.1, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.1]),
+        (7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (8, [0.1, 1.0, 0.0]), (9, [0.0, 0.0, 1.0]), (None, None),
+    ]
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    named = sorted(tuple(r)[:4] for r in out if r.vec_id is not None)
+    assert named == [(4, 1, 4, True), (5, 1, 5, True), (7, 0, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)]
+    nameless = sorted((r.n_links, r.component_id or 0, r.kept) for r in out if r.vec_id is None)
+    assert nameless == [(0, 0, True), (1, 0, False), (1, 0, True), (1, 4, False), (1, 5, False)]
+
+
 def test_pruned_graph_is_searchable():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16))
