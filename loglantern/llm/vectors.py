@@ -1,7 +1,8 @@
 """Operator 3: near-duplicate embeddings by a robust-pruned flat graph.
 
 Unit vectors fall into overlapping shards: each belongs to its ``OVERLAP`` nearest of the
-centroids, which are fitted on a bounded sample. A shard larger than ``BLOCK`` is cut in
+centroids, which are fitted on a bounded sample, for each length of vectors. A length that
+has a block of vectors at most, or too few for the sample, is a shard. A shard larger than ``BLOCK`` is cut in
 blocks. Each block builds a graph of its own: the nearest neighbours of a vector, pruned so
 that no neighbour lies much nearer to another one kept, and the edges back. The adjacency
 lists that a vector has in its blocks are united. Then every two blocks of a shard are
@@ -66,13 +67,24 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def fit_centroids(nodes: DataFrame, n: int) -> np.ndarray:
-    """About one centroid for each ``BLOCK`` / 2 vectors, from a bounded sample."""
-    drawn = nodes.where(_share("node") < SAMPLE / max(1, n)).select("node", "v").orderBy("node").limit(2 * SAMPLE).collect()
-    x = _matrix([r.v for r in drawn])
-    if not len(x):
-        return x
-    k = int(min(MAX_CENTROIDS, max(1, 2 * n // BLOCK), len(x)))
+def fit_centroids(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """About one centroid for each ``BLOCK`` / 2 vectors of a length (in bytes), from a
+    bounded sample; the lengths share ``MAX_CENTROIDS`` by their numbers of vectors."""
+    sizes = nodes.groupBy(F.length("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    counts = {r["size"]: r.n for r in sizes.orderBy(F.desc("n"), "size").limit(MAX_CENTROIDS).collect()}
+    total = sum(counts.values())
+    if not counts:
+        return {}
+    large = nodes.where(F.length("v").isin(list(counts)))
+    drawn = large.where(_share("node") < SAMPLE / total).select("node", "v").orderBy("node").limit(2 * SAMPLE).collect()
+    by_size: dict[int, list[bytes]] = {}
+    for r in drawn:
+        by_size.setdefault(len(r.v), []).append(r.v)
+    return {size: _means(_matrix(v), counts[size], MAX_CENTROIDS * counts[size] // total) for size, v in by_size.items() if MAX_CENTROIDS * counts[size] >= total}
+
+
+def _means(x: np.ndarray, n: int, most: int) -> np.ndarray:
+    k = int(min(most, max(1, 2 * n // BLOCK), len(x)))
     rng = np.random.default_rng(SEED)
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(8):
@@ -268,7 +280,8 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _assign(nodes: DataFrame, centroids: dict[int, np.ndarray], overlap: int) -> DataFrame:
-    """Adds shards: the nearest centroids, ascending; padded by the last where too few."""
+    """Adds shards: the nearest centroids, ascending; padded by the last where too few.
+    Vectors of a length without centroids are a shard, named by a number below zero."""
     known = nodes.sparkSession.sparkContext.broadcast(centroids)  # MAX_CENTROIDS at most
     offsets, total = {}, 0
     for size in sorted(centroids):
@@ -279,8 +292,12 @@ def _assign(nodes: DataFrame, centroids: dict[int, np.ndarray], overlap: int) ->
             shards = [None] * len(pdf)
             sizes = pdf.v.map(len).to_numpy()
             for size in np.unique(sizes):
-                c = known.value[int(size)]
                 at = np.flatnonzero(sizes == size)
+                c = known.value.get(int(size))
+                if c is None:
+                    for i in at:
+                        shards[i] = np.repeat(-int(size), overlap)
+                    continue
                 k = min(overlap, len(c))
                 nearest = np.argpartition(-(_matrix(list(pdf.v.iloc[at])) @ c.T), k - 1, axis=1)[:, :k]
                 for i, row in zip(at, np.sort(nearest, axis=1) + offsets[int(size)]):
@@ -293,12 +310,7 @@ def _assign(nodes: DataFrame, centroids: dict[int, np.ndarray], overlap: int) ->
 def link(nodes: DataFrame, overlap: int, cosine: float) -> DataFrame:
     """node, links, others, tree: links found per task and node, with copies counted and
     without, and edges of forests."""
-    sizes = nodes.groupBy(F.length("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").limit(64).collect()
-    centroids = {r["size"]: fit_centroids(nodes.where(F.length("v") == r["size"]), r.n) for r in sizes}
-    centroids = {size: c for size, c in centroids.items() if len(c)}
-    if not centroids:
-        return nodes.sparkSession.createDataFrame([], _LINKS)
-    assigned = saved(_assign(nodes.where(F.length("v").isin([int(s) for s in centroids])), centroids, overlap), "vectors-shards")
+    assigned = saved(_assign(nodes, fit_centroids(nodes), overlap), "vectors-shards")
     placed = assigned.withColumn("shard", F.explode(F.array_distinct("shards")))
     blocks = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = placed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))

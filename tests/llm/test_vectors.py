@@ -98,6 +98,19 @@ def test_vectors_without_or_with_one_id_stay_apart(spark):
     assert nameless == [(0, 0, True), (1, 0, False), (1, 0, True), (1, 4, False), (1, 5, False)]
 
 
+def test_every_length_is_searched(spark, monkeypatch):
+    """More lengths than 64, some of them larger than a block, each with near vectors."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    rows = []
+    for length in [*range(2, 70), *[80] * 20, *[90] * 10]:
+        x = rng.normal(size=length)
+        for noise in (0, 0.05, 0.1):
+            rows.append((len(rows), [float(v) for v in x + noise * rng.normal(size=length)]))
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert as_tuples(out) == sorted(brute_force(rows))
+
+
 def test_pruned_graph_is_searchable():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16))
