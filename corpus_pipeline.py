@@ -44,10 +44,12 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that with the smallest doc_id."""
+    """One document of each class of near-duplicates: that with the smallest doc_id. Rows
+    are told apart by id and text, for ids may be null or shared."""
     rows = pick(docs, *COLUMNS)
-    gone = minhash.near_duplicates(rows).where("NOT kept").select("doc_id").distinct()
-    return rows.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = minhash.near_duplicates(rows).where("NOT kept").select(F.col("doc_id").alias("d"), F.col("tkey").alias("k")).distinct()
+    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (minhash.body_key(F.col("text")) == F.col("k")), "left_anti")
+    return left.dropDuplicates(["doc_id", "text"])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,15 +17,17 @@ still apart are compared with all others by their samples, in blocks of bounded
 count as near if half their samples and the sums of weights leave a link possible. Round
 two verifies the near pairs of the few members that are nearest to most, the middle of a
 group of copies, and the nearest two of each member; round three all near pairs that are
-left. So a group of copies costs a few pairs for each member, and no link is left out.
+left. So a group of copies costs a few pairs for each member, and no link is left out. A
+node is one distinct text, named by a hash of its smallest doc_id and its content.
 Candidates are verified by the exact weighted Jaccard similarity of the whole texts, which
 lie in a table bucketed by node, so no round shuffles them again. Links make components;
-the smallest doc_id names the class and stays.
+the smallest doc_id names the class and stays, of its texts the one with the least node.
 
 Defined cases: null, empty and blank texts have no shingles and stay apart, but equal texts
-are one class; texts of one to four words are one shingle; rows that share a doc_id are one
-node; a null doc_id is named by a hash of its text above 2^62; ties do not matter; of no
-rows come none; other columns do not matter.
+are one class; texts of one to four words are one shingle; different texts that share a
+doc_id are documents each, in one class only if they are near; a null doc_id is named by a
+hash of its text above 2^62; rows equal in id and text stay or go alike; ties do not matter;
+of no rows come none; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglantern.llm.common import pick, saved, table, text_key
@@ -185,7 +187,7 @@ def draw_samples(row: np.ndarray, values: np.ndarray, weights: np.ndarray) -> tu
 
 
 def sign(docs: DataFrame, weights: Weights) -> DataFrame:
-    """node, t1, t2 (128 bits of the text), total (sum of weights), bands, samples (16 bits
+    """name, t1, t2 (128 bits of the text), total (sum of weights), bands, samples (16 bits
     each) of every row; no bands where there is no word."""
     known = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -208,11 +210,11 @@ def sign(docs: DataFrame, weights: Weights) -> DataFrame:
                     key, small = key.view(np.int64), samples.astype(np.uint16)
                     for j, i in enumerate(where):
                         bands[i], kept[i] = key[j], small[j].tobytes()
-                rest = [batch.column(c).slice(chunk.first, n) for c in ("node", "t1", "t2")]
+                rest = [batch.column(c).slice(chunk.first, n) for c in ("name", "t1", "t2")]
                 out = [*rest, pa.array(totals), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, names=["node", "t1", "t2", "total", "bands", "samples"])
+                yield pa.RecordBatch.from_arrays(out, names=["name", "t1", "t2", "total", "bands", "samples"])
 
-    return docs.select("node", "t1", "t2", "text").mapInArrow(fill, "node long, t1 long, t2 long, total double, bands array<long>, samples binary")
+    return docs.select("name", "t1", "t2", "text").mapInArrow(fill, "name long, t1 long, t2 long, total double, bands array<long>, samples binary")
 
 
 # --- candidates ---------------------------------------------------------------------
@@ -363,39 +365,60 @@ def _bucketed(frame: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def body_key(text: Column) -> Column:
+    """The key of a text in what ``near_duplicates`` returns; null and empty are alike."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _with_nodes(texts: DataFrame) -> tuple[DataFrame, Column]:
+    """The texts with a node each, and the expression that names it."""
+    seed = 0
+    while True:
+        node = F.xxhash64("name", "t1", "t2", F.lit(seed))
+        out = texts.withColumn("node", node)
+        n, different = out.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
+        if n == different:
+            return out, node
+        seed += 1
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the smallest node of the class), kept of each row."""
+    """doc_id, tkey (``body_key`` of the text), class_id (the smallest doc_id of the class),
+    kept of each row."""
     docs = pick(docs, "doc_id", "text")
-    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.call_function("shiftrightunsigned", text_key(F.col("text")), F.lit(3))))
+    name = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.call_function("shiftrightunsigned", text_key(F.col("text")), F.lit(3))))
     body = F.coalesce("text", F.lit(""))
-    named = docs.select("doc_id", node.alias("node"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2"), "text")
+    named = docs.select("doc_id", name.alias("name"), body_key(F.col("text")).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2"), "text")
     weights = fit_weights(named)
     signed = saved(sign(named, weights), "minhash-signed")
     texts = saved(
-        signed.groupBy("t1", "t2").agg(F.min("node").alias("node"), F.first("total").alias("total"), F.first("bands").alias("bands"), F.first("samples").alias("samples")),
+        signed.groupBy("t1", "t2").agg(F.min("name").alias("name"), F.first("total").alias("total"), F.first("bands").alias("bands"), F.first("samples").alias("samples")),
         "minhash-texts",
     )
-    copies = signed.select("t1", "t2", F.col("node").alias("a")).join(texts.select("t1", "t2", F.col("node").alias("b")), ["t1", "t2"])
+    texts, node = _with_nodes(texts)
     members = texts.select("node", F.explode("bands").alias("key"))
     first = saved(members.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-first")
     members = saved(members.join(first.select("key"), "key", "left_semi"), "minhash-members")
     # the texts that share a bucket with others: nothing else has to be verified
     met = members.select("node").distinct()
-    whole = _bucketed(named.join(met.hint("merge"), "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "node")
+    whole = _bucketed(named.select(node.alias("node"), "text").join(met.hint("merge"), "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "node")
     star = members.join(first, "key").select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     links = saved(verify(star, whole, weights, similarity), "minhash-links").select("a", "b")
     for every in (False, True):
         pairs = _apart(members, first, components(links), texts, every)
         more = saved(verify(pairs, whole, weights, similarity), "minhash-links").select("a", "b")
         links = links.union(more)
-    classes = components(links.union(copies.select("a", "b")))
-    out = named.select("doc_id", F.col("node").alias("m")).join(classes, F.col("m") == F.col("node"), "left")
-    label = F.coalesce("component", "m")
-    return out.select("doc_id", label.alias("class_id"), (label == F.col("m")).alias("kept"))
+    classes = components(links).withColumnRenamed("node", "member")
+    facts = texts.select("t1", "t2", "name", "node").join(classes, F.col("node") == F.col("member"), "left")
+    facts = saved(facts.select("t1", "t2", "name", "node", F.coalesce("component", "node").alias("component")), "minhash-classes")
+    heads = facts.groupBy("component").agg(F.min(F.struct("name", "node")).alias("head"))
+    facts = facts.join(heads, "component").select("t1", "t2", F.col("head.name").alias("class_id"), (F.col("node") == F.col("head.node")).alias("first"))
+    out = named.select("doc_id", "name", "t1", "t2").join(facts, ["t1", "t2"])
+    return out.select("doc_id", F.col("t1").alias("tkey"), "class_id", (F.col("first") & (F.col("name") == F.col("class_id"))).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("tkey")
 
 
 SQL = None  # samples have no SQL; tests compare with all pairs by brute force

@@ -59,6 +59,23 @@ def test_odd_and_no_documents(spark, odd_docs):
         assert rows.columns[:2] == ["doc_id", "n_tokens"]
 
 
+def test_near_copies_under_null_and_repeated_ids(spark):
+    """Of each class one row is left, and no text goes for another that shares its id."""
+    words = [f"w{i}" for i in range(900)]
+    a, b, c, d = (" ".join(words[i : i + 200]) for i in (0, 210, 420, 630))
+    rows = [
+        (None, a + " x"), (None, a + " y"), (None, a + " y"), (5, b), (None, b + " x"), (None, b),
+        (7, c), (7, d), (6, c + " x"), (8, d + " x"), (9, "lone words"), (9, c + " y z"), (10, None), (None, "few"), (None, "words"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in cp.remove_near_duplicates(spark, docs, "").collect()]
+    first = [t for i, t in left if i is None and (t or "").startswith("w0 ")]
+    assert len(first) == 1 and first[0] in (a + " x", a + " y")
+    rest = [x for x in left if x[1] != first[0]]
+    want = [(5, b), (6, c + " x"), (7, d), (9, "lone words"), (10, None), (None, "few"), (None, "words")]
+    assert sorted(rest, key=str) == sorted(want, key=str)
+
+
 def test_nothing_else_imports_the_folder():
     for file in (ROOT / "loglantern").rglob("*.py"):
         if "llm" in file.parts:
