@@ -73,7 +73,7 @@ def test_full_bit_tables_and_small_slices_change_nothing(spark, sf_dir, rows, mo
 
 
 def test_odd_rows(spark, odd_docs, tmp_path):
-    odd = odd_docs.select("doc_id", "text", "lang", "source", "node", "bucket")
+    odd = phrases.pick(odd_docs, "doc_id", "text", "lang", "source", "node", "bucket")
     more = spark.createDataFrame(
         [
             (None, "A b\tC  d. A b, C d!" * 20, None, "s", "x", 1),
