@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loglantern.llm import bpe, chat, language, lines, minhash, mixing, phrases, quality, substring, vectors, warc, whitening
+from loglantern.llm import bpe, chat, language, lines, minhash, mixing, phrases, quality, sitetext, substring, vectors, warc, whitening
 
 _MODULES = {
     "op1_source_mix": mixing,
@@ -23,6 +23,7 @@ _MODULES = {
     "op8_language_id": language,
     "op9_bpe": bpe,
     "op10_quality_rules": quality,
+    "op11_site_text": sitetext,
     "op12_whitening": whitening,
     "op13_phrase_mining": phrases,
 }
