@@ -44,7 +44,7 @@ SCALE = 2_000_000
 SHARDS = 8
 UNKNOWN = "und"
 FILTER_BITS = 27  # 16 MB
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 SALTS = 64
 
 _U = np.uint64
@@ -129,7 +129,7 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
 
 
 def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, Slice]]:
-    """Rows first to last of a batch, some megabytes at a time, and their words."""
+    """Rows first to last of a batch, about a megabyte at a time, and their words."""
     if not len(column):
         return
     data, offsets = text_bytes(column)
