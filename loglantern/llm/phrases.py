@@ -239,26 +239,30 @@ def _dealt(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _counted(rows: DataFrame, level: int, bits: np.ndarray | None) -> DataFrame:
-    """h, part, lang, n: the phrases of a level by shard."""
+    """h, part, n: the phrases of a level by shard; at the first level also lang."""
     known, size = rows.sparkSession.sparkContext.broadcast(bits), SLICE_BYTES
+    with_lang = level == 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, langs = batch.column("part").to_numpy(), batch.column("lang")
+            parts = batch.column("part").to_numpy()
             for first, last, piece in slices(batch.column("text"), size):
                 for _, grams in _level(piece, parts[first:last], known.value, level):
                     row = first + piece.rows[grams.first]
-                    columns = [grams.hashes.view(np.int64), parts[row], langs.take(pa.array(row)), grams.counts.astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["h", "part", "lang", "n"])
+                    columns = {"h": pa.array(grams.hashes.view(np.int64)), "part": pa.array(parts[row]), "n": pa.array(grams.counts.astype(np.int64))}
+                    if with_lang:
+                        columns["lang"] = batch.column("lang").take(pa.array(row))
+                    yield pa.RecordBatch.from_pydict(columns)
 
-    found = rows.select("text", "part", "lang").mapInArrow(count, "h long, part long, lang string, n long")
-    return found.groupBy("h", "part", "lang").agg(F.sum("n").alias("n"))
+    keys = ["h", "part", *(["lang"] if with_lang else [])]
+    found = rows.select("text", *keys[1:]).mapInArrow(count, "h long, part long, n long" + (", lang string" if with_lang else ""))
+    return found.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def _frequent(counted: DataFrame, parts: DataFrame, min_count: int) -> DataFrame:
     """What the counts of a level make frequent in its shard: f_i * n >= min_count * n_i."""
     whole = F.col("n").cast("decimal(20,0)") * F.col("all_words") >= F.col("words").cast("decimal(20,0)") * F.lit(min_count)
-    return counted.join(parts, "part").where(whole).select("h", "part", F.xxhash64("lang").alias("lang_key"))
+    return counted.select("h", "part", "n").join(parts, "part").where(whole).select("h", "part", "lang_key")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -268,7 +272,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int =
     words = saved(_counted(rows, 1, None), "phrases-words")
     parts = words.groupBy("lang", "part").agg(F.sum("n").alias("words"))
     sizes = saved(parts.groupBy("lang").agg(F.sum("words").alias("n")), "phrases-sizes")
-    parts = saved(parts.join(sizes.withColumnRenamed("n", "all_words"), "lang").drop("lang"), "phrases-parts")
+    parts = parts.join(sizes.withColumnRenamed("n", "all_words"), "lang")
+    parts = saved(parts.select("part", F.xxhash64("lang").alias("lang_key"), "words", "all_words"), "phrases-parts")
     one = saved(_frequent(words, parts, min_count), "phrases-one")
     two = saved(_frequent(_counted(rows, 2, bit_table(one, "part")), parts, min_count), "phrases-two")
     more = saved(_frequent(_counted(rows, 3, bit_table(two, "part")), parts, min_count), "phrases-more")
@@ -293,11 +298,12 @@ def _exact(rows: DataFrame, bits: np.ndarray, min_count: int) -> DataFrame:
                     passes = _known(known.value, grams.hashes, groups[piece.rows[grams.first]])
                     grams = Grams(grams.first[passes], grams.counts[passes], grams.hashes[passes], grams.of_word)
                     at = pa.array(first + piece.rows[grams.first])
-                    columns = [langs.take(at), piece.texts(grams, k), pa.array(np.full(len(at), k, np.int32)), pa.array(grams.counts.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "n"])
+                    columns = [langs.take(at), piece.texts(grams, k), pa.array(grams.counts.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
-    found = rows.select("text", "lang", "lang_key").mapInArrow(count, "lang string, phrase string, k int, n long")
-    return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    found = rows.select("text", "lang", "lang_key").mapInArrow(count, "lang string, phrase string, n long")
+    counted = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    return counted.withColumn("k", F.size(F.split("phrase", " ")))
 
 
 def scored(frequent: DataFrame) -> DataFrame:
