@@ -101,6 +101,11 @@ def day_start(ts: Column) -> Column:
     return ts.cast("date").cast("timestamp_ntz")
 
 
+def hour_start(ts: Column) -> Column:
+    """Start of the hour, null for null: unlike ``time_bucket`` it drops no row."""
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts), F.extract(F.lit("SECOND"), ts))
+
+
 def time_bucket(ts: Column, width: timedelta = HOUR, aligned: bool = False) -> Column:
     """Start of the bucket of ``ts``.
 

@@ -26,12 +26,21 @@ COUNTERS = [
 ]
 
 
+# Of a row that stands for several entries: for how many.
+WEIGHT = "entries"
+
+
 def row_count(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"))
 
 
+def tally(rows: DataFrame) -> Column:
+    """The number of entries, which a row of partial counts stands for several of."""
+    return F.sum(WEIGHT) if WEIGHT in rows.columns else F.count(F.lit(1))
+
+
 def _counted(rows: DataFrame, *keys: str | Column) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    return rows.groupBy(*keys).agg(tally(rows).alias("count"))
 
 
 def level_counts(entries: DataFrame) -> DataFrame:

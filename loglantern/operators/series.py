@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglantern.functions.times import HOUR, bucket_label, check_width, time_bucket
-
+from loglantern.operators.aggregates import WEIGHT, tally
 
 MINUTE = timedelta(minutes=1)
 
@@ -19,8 +19,8 @@ def time_series(entries: DataFrame, width: timedelta = HOUR, aligned: bool = Fal
     Buckets that do not divide the hour are added up from the counts by minute.
     """
     check_width(width)
-    rows = entries.where(F.col("ts").isNotNull()).select("ts")
-    count = F.count(F.lit(1))
+    rows = entries.where(F.col("ts").isNotNull()).select("ts", *[c for c in (WEIGHT,) if c in entries.columns])
+    count = tally(rows)
     if not aligned and width < HOUR and 60 % (width // MINUTE):
         rows = rows.groupBy(time_bucket(F.col("ts"), MINUTE).alias("ts")).agg(count.alias("n"))
         count = F.sum("n")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from loglantern.operators.series import time_series
 from loglantern.plans import dashboard as charts
 from loglantern.plans.adapter import ENTRIES_SQL, EVENTS_SCHEMA, RAW_SQL, entries_of, event_stream, events, raw_of
 from loglantern.plans.history import source_options
+from loglantern.plans.rollups import dashboard_from_rollups
 from loglantern.schema import ENTRY_COLUMNS
 from loglantern.sources import export, records
 from loglantern.sources.shared import new_dir
@@ -825,6 +827,44 @@ def _store_named_table(e):
     return e.sparkSession.table(name).select(*ENTRY_COLUMNS, "created_at", "session_id")
 
 
+@_entries("store_compacted", f"SELECT {STORED}, CAST(10 AS BIGINT) AS loads, CAST(1 AS BIGINT) AS parts_a_day FROM e")
+def _store_compacted(e):
+    """Ten loads over all days, merged to one part a day: rows, loads and ids stay."""
+    store = EntryStore(e.sparkSession, new_dir(e.sparkSession, "store"))
+    for i in range(10):
+        store.append(e.where(F.pmod(F.xxhash64("id"), F.lit(10)) == i), F.col("session_id"), F.col("created_at"), many_days=True)
+    names = store.read().select("load_id", "id").distinct().count()
+    store.compact(before=datetime(2100, 1, 1).date())
+    parts = [p.day for p in store.manifest.at().parts.values()]
+    rows = store.read()
+    named = rows.select("load_id", "id").distinct().count()
+    loads = rows.select("load_id").distinct().count() if named == names else -1
+    return rows.select(
+        *ENTRY_COLUMNS, "created_at", "session_id",
+        F.lit(loads).cast("bigint").alias("loads"), F.lit(len(parts) // max(1, len(set(parts)))).cast("bigint").alias("parts_a_day"),
+    )
+
+
+@_entries(
+    "store_versions",
+    f"SELECT 'after append' AS seen, count(*) AS n FROM e UNION ALL SELECT 'after retention', count(*) FROM e WHERE created_at >= {_stamp(CUTOFF)} "
+    f"UNION ALL SELECT 'after merging', count(*) FROM e WHERE created_at >= {_stamp(CUTOFF)} UNION ALL SELECT 'after clearing', CAST(0 AS BIGINT)",
+)
+def _store_versions(e):
+    """What readers of each version of a store see, all of it read after the last change."""
+    store = EntryStore(e.sparkSession, new_dir(e.sparkSession, "store"))
+    store.append(e.where("id % 2 = 0"), F.col("session_id"), F.col("created_at"), many_days=True)
+    store.append(e.where("id % 2 = 1"), F.col("session_id"), F.col("created_at"), many_days=True)
+    versions = {"after append": store.version()}
+    store.delete_older_than(CUTOFF)
+    versions["after retention"] = store.version()
+    store.compact(before=datetime(2100, 1, 1).date())
+    versions["after merging"] = store.version()
+    store.clear()
+    versions["after clearing"] = store.version()
+    return reduce(DataFrame.unionByName, (store.read(v).agg(F.lit(name).alias("seen"), F.count(F.lit(1)).alias("n")) for name, v in versions.items()))
+
+
 @_entries("store_clear", "SELECT count(*) AS deleted, CAST(0 AS BIGINT) AS kept FROM e")
 def _store_clear(e):
     store = _stored(e)
@@ -872,6 +912,21 @@ def _dashboard_bundle(e):
     return charts.as_rows(charts.dashboard(e))
 
 
+@_entries(
+    "dashboard_from_rollups",
+    f"SELECT * FROM (WITH kept AS (SELECT * FROM e WHERE created_at >= {_stamp(CUTOFF)}) "
+    + " UNION ALL ".join(DASHBOARD_SQL).replace("FROM e", "FROM kept")
+    + ")",
+)
+def _dashboard_from_rollups(e):
+    """The dashboard of a store after two loads and a retention, from its partial counts."""
+    store = EntryStore(e.sparkSession, new_dir(e.sparkSession, "store"), rollups=True)
+    for i in range(2):
+        store.append(e.where(F.col("id") % 2 == i), F.col("session_id"), F.col("created_at"), many_days=True)
+    store.delete_older_than(CUTOFF)
+    return charts.as_rows(dashboard_from_rollups(store.read_rollups()))
+
+
 # --- streaming --------------------------------------------------------------------
 
 

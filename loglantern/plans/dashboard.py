@@ -31,30 +31,39 @@ def detailed_report(
 ) -> dict[str, DataFrame]:
     """Counters, top sources, counts by hour and day, and top event codes.
 
-    Each part reads just the column it counts, so together they read each column
-    once; the days come out of the hours.
+    Each part reads just the column it counts; the days come out of the hours.
     """
     rows = in_scope(entries, session_id, start, end)
-    hours = hourly_counts(rows)
+    return report(rows, rows, rows, rows)
+
+
+def report(levels: DataFrame, times: DataFrame, sources: DataFrame, codes: DataFrame) -> dict[str, DataFrame]:
+    """The report, each column taken from its own frame of entries, which may be weighted."""
+    hours = hourly_counts(times)
     return {
-        "counters": level_counters(rows),
-        "by_level": level_counts(rows),
-        "by_source": top_named_sources(rows),
+        "counters": level_counters(levels),
+        "by_level": level_counts(levels),
+        "by_source": top_named_sources(sources),
         "by_hour": hours.orderBy("time"),
         "by_day": days_of(hours).orderBy("time"),
-        "event_codes": top_event_codes(rows),
+        "event_codes": top_event_codes(codes),
     }
 
 
 def dashboard(entries: DataFrame, session_id: str | None = None) -> dict[str, DataFrame]:
     """The detailed report and the charts of one session, or of all."""
     rows = in_scope(entries, session_id)
+    return with_charts(rows, rows, rows, rows)
+
+
+def with_charts(levels: DataFrame, times: DataFrame, sources: DataFrame, codes: DataFrame) -> dict[str, DataFrame]:
+    """The report and the charts, each column taken from its own frame of entries."""
     return {
-        **detailed_report(entries, session_id),
-        "pie": pie_slices(rows),
-        "timeline": time_series(rows, HOUR),
-        "top_sources": source_chart(top_sources(rows)),
-        "top_event_codes": code_chart(top_event_codes(rows)),
+        **report(levels, times, sources, codes),
+        "pie": pie_slices(levels),
+        "timeline": time_series(times, HOUR),
+        "top_sources": source_chart(top_sources(sources)),
+        "top_event_codes": code_chart(top_event_codes(codes)),
     }
 
 

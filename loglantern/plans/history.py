@@ -13,6 +13,7 @@ from loglantern.operators.filters import LogFilter, in_scope, keep, unless_blank
 from loglantern.operators.paging import DEFAULT_PAGE_SIZE, count_logs, get_logs
 from loglantern.operators.series import time_series
 from loglantern.plans import dashboard as charts
+from loglantern.plans.rollups import dashboard_from_rollups, report_from_rollups
 from loglantern.sources.export import export_session
 from loglantern.sources.store import EntryStore
 
@@ -76,6 +77,8 @@ class History:
         start: datetime | None = None,
         end: datetime | None = None,
     ) -> dict[str, DataFrame]:
+        if self.store is not None and self.store.rollups and start is None and end is None:
+            return report_from_rollups(self.store.read_rollups(), session_id)
         return charts.detailed_report(self.entries, session_id, start, end)
 
     def time_series(
@@ -94,6 +97,9 @@ class History:
         return aggregates.top_event_codes(in_scope(self.entries, session_id), top)
 
     def dashboard(self, session_id: str | None = None) -> dict[str, DataFrame]:
+        """From the partial counts where the store keeps them, else from the entries."""
+        if self.store is not None and self.store.rollups:
+            return dashboard_from_rollups(self.store.read_rollups(), session_id)
         return charts.dashboard(self.entries, session_id)
 
     def summary(self) -> DataFrame:

@@ -44,7 +44,7 @@ ENTRY_SCHEMA = T.StructType(
 )
 
 # Directory columns of the stored table.
-STORE_PARTITIONS = ("ingest_date", "load_id")
+STORE_PARTITIONS = ("ingest_date", "part")
 
 STORE_SCHEMA = T.StructType(
     ENTRY_SCHEMA.fields
@@ -54,6 +54,16 @@ STORE_SCHEMA = T.StructType(
     ]
 )
 
+# The files of the table also tell the part they belong to; their order is that of writing.
+FILE_SCHEMA = T.StructType(
+    ENTRY_SCHEMA.fields
+    + [
+        T.StructField("load_id", T.StringType()),
+        T.StructField("ingest_date", T.DateType()),
+        T.StructField("part", T.StringType()),
+    ]
+)
+
 # Stands for a provider time that is missing or cannot be read.
 MISSING_TIME = datetime(1, 1, 1)
 

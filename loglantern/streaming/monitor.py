@@ -25,6 +25,7 @@ from loglantern.streaming.live import monitored_entries
 
 POLL_INTERVAL = "1 second"
 RETRY_DELAY_SECONDS = 5.0
+COMPACT_EVERY = 64
 
 # Names in an error that tell of a failed or refused read, which is tried again.
 READ_ERRORS = (
@@ -77,7 +78,8 @@ class Monitor:
     Every start is a session of its own, with its own checkpoint and so with
     empty state; ``start(resume=session_id)`` goes on with an earlier one. A
     batch is stored under a load name made of session and batch number, so a
-    batch repeated after a failure replaces itself.
+    batch repeated after a failure replaces itself. Every ``compact_every`` batches small
+    loads of the store are merged (None: never).
     """
 
     def __init__(
@@ -93,6 +95,7 @@ class Monitor:
         lines_path: str | None = None,
         lines_format: str = "txt",
         checkpoint_root: str | None = None,
+        compact_every: int | None = COMPACT_EVERY,
         on_started: Callable[[], None] = _nothing,
         on_changed: Callable[[int, int], None] = _nothing,
         on_stopped: Callable[[], None] = _nothing,
@@ -108,6 +111,7 @@ class Monitor:
         self.lines_path = lines_path
         self.lines_format = lines_format
         self.checkpoint_root = checkpoint_root
+        self.compact_every = compact_every
         self.on_started, self.on_changed, self.on_stopped = on_started, on_changed, on_stopped
         self.session_id: str | None = None
         self.query: StreamingQuery | None = None
@@ -167,6 +171,8 @@ class Monitor:
             if both:
                 batch.unpersist()
         self._count(number, load_id, stored)
+        if self.compact_every and number % self.compact_every == self.compact_every - 1:
+            self.store.compact()
         if stored:
             self.on_changed(number, stored)
 
