@@ -161,6 +161,11 @@ class LogFilter:
         """True when a search, event code or source is set."""
         return not is_blank(self.search) or self.event_code is not None or not is_blank(self.source)
 
+    @property
+    def counted(self) -> bool:
+        """True when at most level and session are set, by which partial counts are kept."""
+        return not self.active and self.start is None and self.end is None
+
     def conditions(self) -> list[Column]:
         found = []
         if not is_blank(self.level):

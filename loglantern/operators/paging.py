@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loglantern.functions.keys import entry_fingerprint
 from loglantern.functions.levels import level_priority
-from loglantern.operators.aggregates import row_count
+from loglantern.operators.aggregates import WEIGHT, row_count
 from loglantern.operators.filters import LogFilter
 from loglantern.operators.projections import entry_columns
 from loglantern.schema import ENTRY_COLUMNS, ntz
@@ -67,7 +67,10 @@ def page_rows(
     sorted as they are, ties by their fingerprint.
     """
     _check_page(page, size)
-    skip = (page - 1) * size
+    return _page_at(rows, (page - 1) * size, size, top_rows)
+
+
+def _page_at(rows: DataFrame, skip: int, size: int, top_rows: int) -> DataFrame:
     ties = tie_break(rows)
     if not ties:
         ties = [entry_fingerprint()] if set(ENTRY_COLUMNS) <= set(rows.columns) else []
@@ -86,6 +89,60 @@ def page_rows(
     return rows.where(in_page).orderBy(*newest_first(rows)).limit(size)
 
 
+def page_by_hours(
+    rows: DataFrame,
+    hours: DataFrame,
+    page: int = 1,
+    size: int = DEFAULT_PAGE_SIZE,
+    top_rows: int = TOP_ROWS,
+) -> DataFrame:
+    """The same page, found by counts: ``hours`` has the start of an hour as ``ts`` (null:
+    without time) and how many of the rows lie in it.
+
+    The counts tell the hours of the page, at any depth, so the rows are read once, in
+    these hours alone. Where so many rows lie before the page in its first hour that a task
+    should not keep them, it is looked for in there as ``page_rows`` does.
+    """
+    _check_page(page, size)
+    skip = (page - 1) * size
+    day = F.to_date("ts")
+    n = F.sum(WEIGHT).alias("n")
+    days = hours.groupBy(day.alias("start")).agg(n).orderBy(F.desc_nulls_last("start")).collect()
+    begin, end, before = _covering(days, skip, size)
+    if begin == end:
+        return rows.limit(0)
+    near = [d.start for d in days[begin:end]]
+    inside = (day >= F.lit(near[-1] or near[0])) & (day <= F.lit(near[0])) if near[0] else F.lit(False)
+    if near[0] and near[-1] is None:
+        inside = day <= F.lit(near[0])
+    hour = hours.where(inside | day.isNull() if near[-1] is None else inside)
+    found = hour.groupBy(F.col("ts").alias("start")).agg(n).orderBy(F.desc_nulls_last("start")).collect()
+    first, last, ahead = _covering(found, skip - before, size)
+    high, low = found[first].start, found[last - 1].start
+    ts = F.col("ts")
+    timed = ts < ntz(high + timedelta(hours=1)) if high is not None else F.lit(False)
+    held = timed | ts.isNull() if low is None else timed & (ts >= ntz(low))
+    skip -= before + ahead
+    rows = rows.where(held)
+    if skip + size <= max(top_rows, size):
+        return rows.orderBy(*newest_first(rows)).offset(skip).limit(size)
+    return _page_at(rows, skip, size, top_rows)
+
+
+def _covering(counts: list[Row], skip: int, size: int) -> tuple[int, int, int]:
+    """The ranges, in order, that rows ``skip`` to ``skip + size`` lie in: the first, the one
+    behind the last, and the rows before the first."""
+    begin = before = 0
+    while begin < len(counts) and before + counts[begin].n <= skip:
+        before += counts[begin].n
+        begin += 1
+    end, reach = begin, before
+    while end < len(counts) and reach < skip + size:
+        reach += counts[end].n
+        end += 1
+    return begin, end, before
+
+
 def page_after(
     rows: DataFrame, last: Mapping[str, object] | Row, size: int = DEFAULT_PAGE_SIZE
 ) -> DataFrame:

@@ -34,7 +34,7 @@ from loglantern.operators.dedupe import distinct_entries, first_entries
 from loglantern.operators.series import time_series
 from loglantern.plans import dashboard as charts
 from loglantern.plans.adapter import ENTRIES_SQL, EVENTS_SCHEMA, RAW_SQL, entries_of, event_stream, events, raw_of
-from loglantern.plans.history import source_options
+from loglantern.plans.history import History, source_options
 from loglantern.plans.rollups import dashboard_from_rollups
 from loglantern.schema import ENTRY_COLUMNS
 from loglantern.sources import export, records
@@ -378,6 +378,11 @@ def _page_deep(e):
     return paging.page_rows(e, page=17, size=50, top_rows=60)
 
 
+@_entries("page_deep_default", f"SELECT * FROM e {NEWEST} LIMIT 50 OFFSET 900")
+def _page_deep_default(e):
+    return paging.page_rows(e, page=19, size=50)
+
+
 @_entries(
     "page_after",
     "SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-15 12:00:00' "
@@ -927,6 +932,19 @@ def _dashboard_from_rollups(e):
     return charts.as_rows(dashboard_from_rollups(store.read_rollups()))
 
 
+@_entries(
+    "page_by_counts",
+    "SELECT p.*, total FROM (SELECT ts, level, message, event_code, source FROM e WHERE level = 'Error' "
+    "ORDER BY ts DESC NULLS LAST, id DESC LIMIT 50 OFFSET 50) p, (SELECT count(*) AS total FROM e WHERE level = 'Error')",
+)
+def _page_by_counts(e):
+    """A page of a store and the total, found by its partial counts."""
+    store = EntryStore(e.sparkSession, new_dir(e.sparkSession, "store"), rollups=True)
+    store.append(e, F.col("session_id"), F.col("created_at"), many_days=True)
+    rows, total = History(store).get_logs(2, 50, fl.LogFilter(level="Error"))
+    return rows.select(*ENTRY_COLUMNS, F.lit(total.first().total).cast("bigint").alias("total"))
+
+
 # --- streaming --------------------------------------------------------------------
 
 

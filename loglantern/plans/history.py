@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from loglantern.functions.times import HOUR
 from loglantern.operators import aggregates
 from loglantern.operators.filters import LogFilter, in_scope, keep, unless_blank, unless_empty
-from loglantern.operators.paging import DEFAULT_PAGE_SIZE, count_logs, get_logs
+from loglantern.operators.aggregates import WEIGHT
+from loglantern.operators.paging import DEFAULT_PAGE_SIZE, count_logs, get_logs, page_by_hours
+from loglantern.operators.projections import entry_columns
 from loglantern.operators.series import time_series
 from loglantern.plans import dashboard as charts
 from loglantern.plans.rollups import dashboard_from_rollups, report_from_rollups
@@ -40,7 +42,16 @@ class History:
         size: int = DEFAULT_PAGE_SIZE,
         filters: LogFilter | None = None,
     ) -> tuple[DataFrame, DataFrame]:
-        return get_logs(self.entries, page, size, filters)
+        """A page and the number of all rows. Where the store keeps partial counts and the
+        filter is by level and session only, both come from the counts: the entries are read
+        once, where the page is."""
+        filters = filters or LogFilter()
+        if self.store is None or not self.store.rollups or not filters.counted:
+            return get_logs(self.entries, page, size, filters)
+        version = self.store.version()
+        hours = filters.apply(self.store.read_rollups(version).where(F.col("kind") == "hour"))
+        found = page_by_hours(filters.apply(self.store.read(version)), hours, page, size)
+        return entry_columns(found), hours.agg(F.coalesce(F.sum(WEIGHT), F.lit(0)).alias("total"))
 
     def count_logs(self, filters: LogFilter | None = None) -> DataFrame:
         return count_logs(self.entries, filters)

@@ -1,8 +1,8 @@
 """Partial counts of stored entries, which add up to the dashboard.
 
-A part of a store is counted once, when it is written: its entries by session and level,
-hour, source, and event code. These counts add up over any set of parts, so the dashboard
-of all entries or of a session needs no entry again.
+A part of a store is counted once, when it is written: its entries by session and level;
+hour and level; source; and event code. These counts add up over any set of parts, so the dashboard
+of all entries or of a session needs no entry again, and pages are found by them.
 """
 
 from __future__ import annotations
@@ -38,17 +38,22 @@ ROLLUP_SCHEMA = T.StructType(
 def rollup(entries: DataFrame, *by: str) -> DataFrame:
     """The counts of the entries, for each value of the columns ``by``; the entries are read
     once and added up before they are shuffled."""
-    values = {"level": level_or_unknown(F.col("level")), "hour": hour_start(F.col("ts")), "source": F.col("source"), "code": F.col("event_code")}
+    values: dict[str, Column] = {"level": level_or_unknown(F.col("level")), "hour": hour_start(F.col("ts")), "source": F.col("source"), "code": F.col("event_code")}
     kinds = {f.name: f.dataType for f in ROLLUP_SCHEMA}
 
     def row(kind: str) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
-            *((values[k] if k == kind else F.lit(None)).cast(kinds[column]).alias(column) for k, column in KINDS.items()),
+            *(value(kind, k).cast(kinds[column]).alias(column) for k, column in KINDS.items()),
         )
 
+    def value(kind: str, k: str) -> Column:
+        if (kind, k) == ("hour", "level"):
+            return F.col("level")  # as it is: pages are filtered by it
+        return values[k] if k == kind else F.lit(None)
+
     named = entries.select(*by, "session_id", F.explode(F.array(*map(row, KINDS))).alias("row")).select(*by, "session_id", "row.*")
-    given = F.lit(False)
+    given = F.col("kind") == "hour"  # also without a time
     for kind, column in KINDS.items():
         given = given | ((F.col("kind") == kind) & F.col(column).isNotNull())
     counted = named.where(given).groupBy("session_id", "kind", *KINDS.values(), *by).agg(F.count(F.lit(1)).alias(WEIGHT))

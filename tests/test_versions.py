@@ -6,6 +6,9 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from loglantern.operators import paging
+from loglantern.operators.filters import LogFilter
+from loglantern.operators.paging import newest_first, page_by_hours
 from loglantern.plans import dashboard as charts
 from loglantern.plans.adapter import entries_of, events
 from loglantern.plans.history import History
@@ -198,3 +201,20 @@ def test_rollups_equal_the_scan(store, entries, session):
         assert {n: p.dtypes for n, p in parts.items()} == {n: p.dtypes for n, p in scan.items()}
         assert rows_of(parts) == rows_of(scan)
         assert not any("_rollup" not in f for f in parts["by_source"].inputFiles())
+
+
+@pytest.mark.parametrize("filters", [LogFilter(), LogFilter(level="Error"), LogFilter(session_id="Session_20240115_000000_System"), LogFilter(level="None")])
+def test_pages_by_counts(store, entries, filters, monkeypatch):
+    late = entries.limit(30).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    store.append(entries.unionByName(late), F.col("session_id"), F.col("created_at"), many_days=True)
+    want = filters.apply(store.read()).orderBy(*newest_first(store.read())).collect()
+    history = History(store)
+    for page, size in ((1, 20), (3, 20), (2, 1), (1 + len(want) // 20, 20), (len(want) + 1, 7), (1, 500)):
+        rows, total = history.get_logs(page, size, filters)
+        assert total.first().total == len(want)
+        part = want[(page - 1) * size : page * size]
+        assert [(r.ts, r.message) for r in rows.collect()] == [(r.ts, r.message) for r in part]
+        deep = page_by_hours(filters.apply(store.read()), filters.apply(store.read_rollups().where("kind = 'hour'")), page, size, top_rows=1)
+        assert [(r.load_id, r.id) for r in deep.collect()] == [(r.load_id, r.id) for r in part]
+    monkeypatch.setattr(paging, "_seek", None)  # no search among the entries
+    assert history.get_logs(2, 5, filters)[0].count() == len(want[5:10])
