@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 RARE = 1e-3
 MAX_FREQUENT = 1 << 19
+PAIR_BYTES = 1 << 20  # of text that a worker verifies at once
 BLOCK = 1500  # members of a bucket that are compared in one task
 HUBS, NEAREST = 3, 2  # members of a block that round two tries with all, and for each
 
@@ -247,7 +249,6 @@ def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
         node, comp, total = (group.column(c).to_numpy() for c in ("node", "comp", "total"))
         minor, home = group.column("minor").to_numpy(), group.column("home").to_numpy()
         samples = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint16).reshape(-1, SAMPLES)
-        lefts, rights = [], []
         mass = np.zeros(home.sum(), np.int64)
         # the visitors meet the members at home; at home, members meet each other
         asked = np.flatnonzero(minor)
@@ -260,16 +261,16 @@ def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
             low, high = np.minimum(total[x][:, None], total[with_][None, :]), np.maximum(total[x][:, None], total[with_][None, :])
             return np.where(near & (low >= (SIMILARITY - 1e-6) * high), agree, 0)
 
-        def found(x: np.ndarray, with_: np.ndarray, near: np.ndarray) -> None:
+        def found(x: np.ndarray, with_: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
             a, b = np.nonzero(near)
-            lefts.append(node[x[a]])
-            rights.append(node[with_[b]])
+            a, b = node[x[a]], node[with_[b]]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         for i in range(0, len(asked), 64):
             x = asked[i : i + 64]
             agree = agreeing(x, hosts)
             if every:
-                found(x, hosts, agree)
+                yield found(x, hosts, agree)
                 continue
             mass += agree.sum(0)
             if agree.shape[1] > NEAREST:
@@ -277,14 +278,12 @@ def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
                 agree[agree < least[:, None]] = 0
                 # of many equally near ones the first few do
                 agree[np.cumsum(agree > 0, axis=1) > NEAREST] = 0
-            found(x, hosts, agree)
+            yield found(x, hosts, agree)
         if not every:
             hubs = hosts[np.argsort(-mass, kind="stable")[:HUBS]]
             for i in range(0, len(asked), 1024):
                 x = asked[i : i + 1024]
-                found(x, hubs, agreeing(x, hubs))
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (lefts, rights))
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                yield found(x, hubs, agreeing(x, hubs))
 
 
 def _apart(members: DataFrame, first: DataFrame, joined: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
@@ -318,6 +317,18 @@ def _apart(members: DataFrame, first: DataFrame, joined: DataFrame, texts: DataF
 # --- verification -------------------------------------------------------------------
 
 
+def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, as many as have some ``size`` bytes of text, at least one."""
+    lengths = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text_a", "text_b"))
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(batch):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _similarity(batch: pa.RecordBatch, w: Weights) -> np.ndarray:
     """Weighted Jaccard similarity of text_a and text_b, row by row."""
     n = len(batch)
@@ -339,13 +350,13 @@ def _similarity(batch: pa.RecordBatch, w: Weights) -> np.ndarray:
 
 def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts are similar, with their similarity."""
-    known = pairs.sparkSession.sparkContext.broadcast(weights)
+    known, size = pairs.sparkSession.sparkContext.broadcast(weights), PAIR_BYTES
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _similarity(batch, known.value) if len(batch) else np.zeros(0)
+        for part in (part for batch in batches for part in _slices(batch, size)):
+            found = _similarity(part, known.value)
             near = pa.array(found >= similarity - 1e-9)
-            out = [batch.column("a").filter(near), batch.column("b").filter(near), pa.array(found).filter(near)]
+            out = [part.column("a").filter(near), part.column("b").filter(near), pa.array(found).filter(near)]
             yield pa.RecordBatch.from_arrays(out, names=["a", "b", "similarity"])
 
     def side(name: str) -> DataFrame:

@@ -96,3 +96,14 @@ def test_components(spark):
     assert graph.components(edges.where("false")).count() == 0
     star = spark.range(500).select(F.lit(1000).cast("long").alias("a"), F.col("id").alias("b"))
     assert {r.component for r in graph.components(star).collect()} == {0}
+
+
+def test_many_near_copies_in_small_blocks_and_slices(spark, monkeypatch):
+    """A bucket of 300 near copies over many blocks, verified a few pairs at a time."""
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "PAIR_BYTES", 500)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[: 60 + i % 5], f"x{i % 60}", *words[61 + i % 7 :]])) for i in range(300)]
+    rows += [(300 + i, " ".join(f"o{i}-{j}" for j in range(40))) for i in range(20)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_force(rows)
