@@ -832,12 +832,12 @@ def _store_named_table(e):
     return e.sparkSession.table(name).select(*ENTRY_COLUMNS, "created_at", "session_id")
 
 
-@_entries("store_compacted", f"SELECT {STORED}, CAST(10 AS BIGINT) AS loads, CAST(1 AS BIGINT) AS parts_a_day FROM e")
+@_entries("store_compacted", f"SELECT {STORED}, CAST(4 AS BIGINT) AS loads, CAST(1 AS BIGINT) AS parts_a_day FROM e")
 def _store_compacted(e):
-    """Ten loads over all days, merged to one part a day: rows, loads and ids stay."""
+    """Four loads over all days, merged to one part a day: rows, loads and ids stay."""
     store = EntryStore(e.sparkSession, new_dir(e.sparkSession, "store"))
-    for i in range(10):
-        store.append(e.where(F.pmod(F.xxhash64("id"), F.lit(10)) == i), F.col("session_id"), F.col("created_at"), many_days=True)
+    for i in range(4):
+        store.append(e.where(F.pmod(F.xxhash64("id"), F.lit(4)) == i), F.col("session_id"), F.col("created_at"), many_days=True)
     names = store.read().select("load_id", "id").distinct().count()
     store.compact(before=datetime(2100, 1, 1).date())
     parts = [p.day for p in store.manifest.at().parts.values()]
