@@ -13,9 +13,10 @@ counted exactly.
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per distinct text;
 texts that agree in a band are candidates (at similarity 0.8 one pair in 5,000 is missed).
 Round one verifies every member of a band's bucket against its first. Members that are then
-still apart are compared with all others by their samples, in blocks of bounded size: pairs
-count as near if half their samples and the sums of weights leave a link possible. Round
-two verifies the near pairs of the few members that are nearest to most, the middle of a
+still apart are compared with all others, in blocks of bounded size: pairs count as near if half
+their samples agree and their weights leave a link possible. A text's weights are summed up
+by the ``SLOTS`` slots of its shingles; the smaller of two sums, added over all slots, is
+never less than what the texts share, so no pair is lost by it. Round two verifies the near pairs of the few members that are nearest to most, the middle of a
 group of copies, and the nearest two of each member; round three all near pairs that are
 left. So a group of copies costs a few pairs for each member, and no link is left out. A
 node is one distinct text, named by a hash of its smallest doc_id and its content.
@@ -40,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglantern.llm.common import pick, saved, table, text_key
+from loglantern.llm.common import name_nodes, pick, saved, table, text_key
 from loglantern.llm.graph import components
 from loglantern.llm.wordhash import Chunk, chunks, mix
 from loglantern.sources.shared import new_dir
@@ -52,7 +53,8 @@ SAMPLES = BANDS * ROWS
 RARE = 1e-3
 MAX_FREQUENT = 1 << 19
 PAIR_BYTES = 1 << 20  # of text that a worker verifies at once
-BLOCK = 1500  # members of a bucket that are compared in one task
+BLOCK = 1500  # members of a bucket that are compared in one task with as many others
+SLOTS = 256  # sums of weights that bound what two texts share
 HUBS, NEAREST = 3, 2  # members of a block that round two tries with all, and for each
 
 _SLOT_BITS = 21
@@ -188,9 +190,17 @@ def draw_samples(row: np.ndarray, values: np.ndarray, weights: np.ndarray) -> tu
     return row[begins], samples
 
 
+def slot_sums(row: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n rows, the weights summed up by slots, as bytes rounded up, and the size of a step."""
+    at = row * SLOTS + (values % _U(SLOTS)).astype(np.int64)
+    sums = np.bincount(at, weights, minlength=n * SLOTS).reshape(n, SLOTS)
+    step = sums.max(1, initial=0) / 255
+    return np.minimum(np.ceil(sums / np.where(step > 0, step, 1)[:, None]), 255).astype(np.uint8), step
+
+
 def sign(docs: DataFrame, weights: Weights) -> DataFrame:
     """name, t1, t2 (128 bits of the text), total (sum of weights), bands, samples (16 bits
-    each) of every row; no bands where there is no word."""
+    each), slots and their step of every row; no bands where there is no word."""
     known = docs.sparkSession.sparkContext.broadcast(weights)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +209,8 @@ def sign(docs: DataFrame, weights: Weights) -> DataFrame:
             for chunk in chunks(batch.column("text")):
                 n = len(chunk.counts)
                 row, values, counts = _distinct(chunk)
-                totals, bands, kept = np.zeros(n), [None] * n, [None] * n
+                totals, bands, kept, slots = np.zeros(n), [None] * n, [None] * n, [None] * n
+                step = np.zeros(n)
                 if len(row):
                     weighed = w.of(values, counts)
                     totals += np.bincount(row, weighed, minlength=n)
@@ -210,13 +221,16 @@ def sign(docs: DataFrame, weights: Weights) -> DataFrame:
                             key = mix(key * _U(0x9E3779B97F4A7C15) + samples[:, i::ROWS])
                         key = mix(key + np.arange(BANDS, dtype=np.uint64))
                     key, small = key.view(np.int64), samples.astype(np.uint16)
+                    place = np.cumsum(np.r_[0, row[1:] != row[:-1]])
+                    sums, step[where] = slot_sums(place, values, weighed, len(where))
                     for j, i in enumerate(where):
-                        bands[i], kept[i] = key[j], small[j].tobytes()
+                        bands[i], kept[i], slots[i] = key[j], small[j].tobytes(), sums[j].tobytes()
                 rest = [batch.column(c).slice(chunk.first, n) for c in ("name", "t1", "t2")]
-                out = [*rest, pa.array(totals), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, names=["name", "t1", "t2", "total", "bands", "samples"])
+                out = [*rest, pa.array(totals), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pa.array(slots, pa.binary()), pa.array(step)]
+                yield pa.RecordBatch.from_arrays(out, names=["name", "t1", "t2", "total", "bands", "samples", "slots", "step"])
 
-    return docs.select("name", "t1", "t2", "text").mapInArrow(fill, "name long, t1 long, t2 long, total double, bands array<long>, samples binary")
+    schema = "name long, t1 long, t2 long, total double, bands array<long>, samples binary, slots binary, step double"
+    return docs.select("name", "t1", "t2", "text").mapInArrow(fill, schema)
 
 
 # --- candidates ---------------------------------------------------------------------
@@ -242,35 +256,43 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], every: bool, similarity: float) -> Iterator[pa.RecordBatch]:
     """Of each group, near pairs in different components, one of them apart from the
     bucket's first: all of them, or those of the hubs and the nearest ones."""
     for group in _groups(batches, "task"):
-        node, comp, total = (group.column(c).to_numpy() for c in ("node", "comp", "total"))
-        minor, home = group.column("minor").to_numpy(), group.column("home").to_numpy()
+        node, comp, total, step = (group.column(c).to_numpy() for c in ("node", "comp", "total", "step"))
+        home = group.column("home").to_numpy()
         samples = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint16).reshape(-1, SAMPLES)
-        mass = np.zeros(home.sum(), np.int64)
-        # the visitors meet the members at home; at home, members meet each other
-        asked = np.flatnonzero(minor)
-        hosts = np.flatnonzero(home)
+        slots = np.frombuffer(b"".join(group.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        hosts, asked = np.flatnonzero(home), np.flatnonzero(~home)
+        mass = np.zeros(len(hosts), np.int64)
 
         def agreeing(x: np.ndarray, with_: np.ndarray) -> np.ndarray:
             """Samples that members x share with others; 0 where they are not near."""
             agree = (samples[x][:, None, :] == samples[with_][None, :, :]).sum(2)
             near = (2 * agree >= SAMPLES) & (comp[x][:, None] != comp[with_][None, :])
             low, high = np.minimum(total[x][:, None], total[with_][None, :]), np.maximum(total[x][:, None], total[with_][None, :])
-            return np.where(near & (low >= (SIMILARITY - 1e-6) * high), agree, 0)
+            return np.where(near & (low >= (similarity - 1e-6) * high), agree, 0)
 
-        def found(x: np.ndarray, with_: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Whether the slots of x and y leave room for all that a link has to share."""
+            room = np.minimum(slots[x] * step[x][:, None], slots[y] * step[y][:, None]).sum(1)
+            return room >= (similarity / (1 + similarity) - 1e-6) * (total[x] + total[y])
+
+        def found(x: np.ndarray, with_: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
             a, b = np.nonzero(near)
-            a, b = node[x[a]], node[with_[b]]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            a, b = x[a], with_[b]
+            for i in range(0, len(a), 2048):
+                p, q = a[i : i + 2048], b[i : i + 2048]
+                fit = possible(p, q)
+                p, q = node[p[fit]], node[q[fit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], names=["a", "b"])
 
         for i in range(0, len(asked), 64):
             x = asked[i : i + 64]
             agree = agreeing(x, hosts)
             if every:
-                yield found(x, hosts, agree)
+                yield from found(x, hosts, agree)
                 continue
             mass += agree.sum(0)
             if agree.shape[1] > NEAREST:
@@ -278,19 +300,20 @@ def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
                 agree[agree < least[:, None]] = 0
                 # of many equally near ones the first few do
                 agree[np.cumsum(agree > 0, axis=1) > NEAREST] = 0
-            yield found(x, hosts, agree)
+            yield from found(x, hosts, agree)
         if not every:
             hubs = hosts[np.argsort(-mass, kind="stable")[:HUBS]]
             for i in range(0, len(asked), 1024):
                 x = asked[i : i + 1024]
-                yield found(x, hubs, agreeing(x, hubs))
+                yield from found(x, hubs, agreeing(x, hubs))
 
 
-def _apart(members: DataFrame, first: DataFrame, joined: DataFrame, texts: DataFrame, every: bool) -> DataFrame:
+def _apart(members: DataFrame, first: DataFrame, joined: DataFrame, texts: DataFrame, every: bool, similarity: float) -> DataFrame:
     """Candidates among the members of a bucket that the rounds before have not joined.
 
-    Every member is at home in one block of its bucket; those that are not in the
-    component of the bucket's first visit all its blocks.
+    Every member is at home in one block of its bucket. Those that are not in the
+    component of the bucket's first are dealt to blocks of guests too, and every block of
+    guests meets every block at home in a task of its own.
     """
     comp = joined.select(F.col("node").alias("cn"), "component")
 
@@ -300,17 +323,23 @@ def _apart(members: DataFrame, first: DataFrame, joined: DataFrame, texts: DataF
     rows = with_comp(members.join(first, "key"), "node", "comp")
     firsts = with_comp(first, "first", "major").select(F.col("key").alias("k"), "major")
     rows = rows.join(firsts, F.col("key") == F.col("k")).drop("k").withColumn("minor", F.col("comp") != F.col("major"))
-    torn = rows.where("minor").select("key").distinct()
-    rows = rows.join(torn, "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    visits = F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(mine))
-    dealt = rows.select("key", "node", "comp", "minor", mine.alias("mine"), F.explode(visits).alias("block"))
-    facts = texts.select(F.col("node").alias("tn"), "total", "samples")
-    dealt = dealt.join(facts, F.col("node") == F.col("tn")).select(
-        F.xxhash64("key", "block").alias("task"), "node", "comp", "minor", (F.col("mine") == F.col("block")).alias("home"), "total", "samples"
+    torn = rows.where("minor").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("guests")).withColumnRenamed("key", "k")
+    rows = rows.join(torn, F.col("key") == F.col("k")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+
+    def own(number: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(number))
+
+    def each(number: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
+
+    hosts = rows.select("key", "node", "comp", own("blocks").alias("block"), each("guests").alias("guest"), F.lit(True).alias("home"))
+    guests = rows.where("minor").select("key", "node", "comp", each("blocks").alias("block"), own("guests").alias("guest"), F.lit(False).alias("home"))
+    facts = texts.select(F.col("node").alias("tn"), "total", "samples", "slots", "step")
+    dealt = hosts.union(guests).join(facts, F.col("node") == F.col("tn")).select(
+        F.xxhash64("key", "block", "guest").alias("task"), "node", "comp", "home", "total", "samples", "slots", "step"
     )
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(
-        lambda batches: _compare(batches, every), "a long, b long"
+        lambda batches: _compare(batches, every, similarity), "a long, b long"
     ).distinct()
 
 
@@ -365,15 +394,15 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: flo
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(fill, "a long, b long, similarity double")
 
 
-def _bucketed(frame: DataFrame, key: str) -> DataFrame:
-    """The rows written to the shared folder in buckets of a key: joins on the key read
-    them in place."""
+def _bucketed(frame: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """The rows written to the shared folder in buckets of a key, so that joins on the key
+    read them in place, and the name they have in the catalog."""
     spark = frame.sparkSession
     path = new_dir(spark, "minhash-whole")
     name = path.rsplit("/", 1)[-1].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frame.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def body_key(text: Column) -> Column:
@@ -381,18 +410,6 @@ def body_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _with_nodes(texts: DataFrame) -> tuple[DataFrame, Column]:
-    """The texts with a node each, and the expression that names it."""
-    seed = 0
-    while True:
-        node = F.xxhash64("name", "t1", "t2", F.lit(seed))
-        out = texts.withColumn("node", node)
-        n, different = out.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
-        if n == different:
-            return out, node
-        seed += 1
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, tkey (``body_key`` of the text), class_id (the smallest doc_id of the class),
     kept of each row."""
@@ -403,22 +420,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     weights = fit_weights(named)
     signed = saved(sign(named, weights), "minhash-signed")
     texts = saved(
-        signed.groupBy("t1", "t2").agg(F.min("name").alias("name"), F.first("total").alias("total"), F.first("bands").alias("bands"), F.first("samples").alias("samples")),
+        signed.groupBy("t1", "t2").agg(F.min("name").alias("name"), F.first("total").alias("total"), *(F.first(c).alias(c) for c in ("bands", "samples", "slots", "step"))),
         "minhash-texts",
     )
-    texts, node = _with_nodes(texts)
+    texts, add_node = name_nodes(texts, ["name", "t1", "t2"], "minhash-met")
     members = texts.select("node", F.explode("bands").alias("key"))
     first = saved(members.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-first")
     members = saved(members.join(first.select("key"), "key", "left_semi"), "minhash-members")
     # the texts that share a bucket with others: nothing else has to be verified
     met = members.select("node").distinct()
-    whole = _bucketed(named.select(node.alias("node"), "text").join(met.hint("merge"), "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "node")
+    bodies = add_node(named).select("node", "text").join(met.hint("merge"), "node", "left_semi")
+    whole, held = _bucketed(bodies.dropDuplicates(["node"]), "node")
     star = members.join(first, "key").select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     links = saved(verify(star, whole, weights, similarity), "minhash-links").select("a", "b")
     for every in (False, True):
-        pairs = _apart(members, first, components(links), texts, every)
+        pairs = _apart(members, first, components(links), texts, every, similarity)
         more = saved(verify(pairs, whole, weights, similarity), "minhash-links").select("a", "b")
         links = links.union(more)
+    docs.sparkSession.sql(f"DROP TABLE {held}")
     classes = components(links).withColumnRenamed("node", "member")
     facts = texts.select("t1", "t2", "name", "node").join(classes, F.col("node") == F.col("member"), "left")
     facts = saved(facts.select("t1", "t2", "name", "node", F.coalesce("component", "node").alias("component")), "minhash-classes")

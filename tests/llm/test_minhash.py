@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from loglantern.llm import graph, minhash
+from loglantern.llm import common, graph, minhash
 
 
 def brute_force(rows):
@@ -107,3 +107,30 @@ def test_many_near_copies_in_small_blocks_and_slices(spark, monkeypatch):
     rows += [(300 + i, " ".join(f"o{i}-{j}" for j in range(40))) for i in range(20)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == brute_force(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("minhash")]
+
+
+def test_one_bucket_of_texts_that_mostly_fall_short(spark, monkeypatch):
+    """Texts that share three fifths meet in buckets, few of them are linked."""
+    monkeypatch.setattr(minhash, "BLOCK", 15)
+    common_part = " ".join(f"w{i}" for i in range(70))
+    rows = [(i, f"{common_part} " + " ".join(f"x{i // 2 if i < 40 else i}-{j}" for j in range(30)) + f" e{i}") for i in range(150)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_force(rows)
+    assert {r.doc_id: r.class_id for r in got} == want and len(set(want.values())) == 130
+
+
+def test_slots_never_hold_less_than_what_is_shared():
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 300, 5000):
+        values = rng.integers(0, 2**63, size, dtype=np.uint64)
+        weights = rng.gamma(1, 3, (2, size)) * (rng.random((2, size)) < 0.7)
+        row = np.repeat([0, 1], size)
+        sums, step = minhash.slot_sums(row, np.tile(values, 2), weights.ravel(), 2)
+        room = np.minimum(sums[0] * step[0], sums[1] * step[1]).sum()
+        assert room >= np.minimum(*weights).sum() * (1 - 1e-9)
+
+
+def test_texts_whose_hashes_meet(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(common, "NODE_BITS", 8)
+    test_small_tables(spark, sf_dir)
