@@ -32,14 +32,14 @@ do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglantern.llm.common import pick, saved, table
+from loglantern.llm.common import name_nodes, pick, saved, table
 from loglantern.llm.graph import components
 
 COSINE = 0.9
@@ -378,24 +378,20 @@ def audit(true: dict[int, int], found: DataFrame, n: int) -> float | None:
     return float(min(each.mean(), each @ share / share.sum()))
 
 
-def _nodes(whole: DataFrame) -> tuple[DataFrame, int, int]:
+def _nodes(whole: DataFrame) -> tuple[DataFrame, int, Callable[[DataFrame], DataFrame]]:
     """node, weight, name (the smallest vec_id), v of every distinct vector, their number,
-    and the seed of the hash that names each of them differently."""
+    and what adds the nodes to other frames of vectors."""
     folded = saved(whole.groupBy("v").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("name")), "vectors-folded")
-    seed = SEED
-    while True:
-        nodes = saved(folded.select(F.xxhash64("v", F.lit(seed)).alias("node"), "weight", "name", "v"), "vectors-nodes")
-        n, different = nodes.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
-        if n == different:
-            return nodes, n, seed
-        seed += 1
+    named, add_node = name_nodes(folded, ["v"], "vectors-met", SEED)
+    nodes = saved(named.select("node", "weight", "name", "v"), "vectors-nodes")
+    return nodes, nodes.count(), add_node
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept and the audited recall of each row."""
     rows = saved(unit_vectors(vectors), "vectors-unit")
     whole = rows.where(F.col("v").isNotNull())
-    named, n, seed = _nodes(whole)
+    named, n, add_node = _nodes(whole)
     nodes = named.select("node", "weight", "v")
     overlap, true = OVERLAP, truth(nodes, n, cosine)
     while True:
@@ -406,7 +402,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         overlap *= 2
     if recall is not None and recall < LEAST_RECALL:
         raise RuntimeError(f"the search finds {recall:.3f} of the audited links at overlap {overlap}, less than {LEAST_RECALL}")
-    node_of = whole.select("vec_id", F.xxhash64("v", F.lit(seed)).alias("node"))
+    node_of = add_node(whole).select("vec_id", "node")
     # the vectors of one id are joined with the first of them
     ids = node_of.where(F.col("vec_id").isNotNull())
     first = ids.groupBy("vec_id").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b < z").select(F.col("vec_id").alias("i"), "b")

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from loglantern.llm import vectors
+from loglantern.llm import common, vectors
 
 
 def brute_force(rows, cosine=vectors.COSINE):
@@ -127,3 +127,8 @@ def test_pruned_graph_is_searchable():
 def test_tiny_blocks(n):
     lists = vectors.build_graph(np.eye(4)[:n])
     assert len(lists) == n and all(len(g) <= n - 1 for g in lists)
+
+
+def test_vectors_whose_hashes_meet(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(common, "NODE_BITS", 8)
+    test_small_tables(spark, sf_dir)
