@@ -771,6 +771,12 @@ def _session_export_file(e):
     return e.sparkSession.read.text(path).withColumnRenamed("value", "line")
 
 
+@_entries("view_export_file", f"SELECT {LINE_SQL} AS line FROM e WHERE level = 'Error'")
+def _view_export_file(e):
+    path = export.save_view(e.where(fl.level_is("Error")), new_dir(e.sparkSession, "export"))
+    return e.sparkSession.read.text(path).withColumnRenamed("value", "line")
+
+
 @_entries("json_export_file", f"SELECT {FIVE} FROM e")
 def _json_export_file(e):
     path = export.write_lines(e, new_dir(e.sparkSession, "export"), "json")

@@ -43,6 +43,24 @@ def write_lines(
     return path
 
 
+def save_view(
+    entries: DataFrame,
+    base: str,
+    fmt: str = "txt",
+    legacy_json: bool = False,
+    zone: str | None = None,
+    now: datetime | None = None,
+) -> str:
+    """Write the entries on view, newest first, under the dated path and return where.
+
+    The sort is by ranges, as for a session. A path that is there already is an error and
+    stays as it is; no entries make an export without lines.
+    """
+    path = dated_path(base, fmt, now)
+    rows = entries.orderBy(*newest_first(entries))
+    return write_lines(rows, path, check_format(fmt), legacy_json, zone, mode="error")
+
+
 def session_rows(entries: DataFrame, session_id: str | None) -> DataFrame:
     """The entries of one session, newest first."""
     if not session_id or session_id == ALL_SESSIONS:

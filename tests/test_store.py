@@ -1,6 +1,7 @@
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from loglantern.operators.paging import newest_first
@@ -169,6 +170,26 @@ def test_export_needs_a_session_with_rows(entries, tmp_path):
     assert list(tmp_path.iterdir()) == []
 
 
+def test_saved_view_is_in_order_under_its_dated_path(entries, tmp_path):
+    now = datetime(2024, 2, 3, 4, 5, 6)
+    view = entries.where(F.col("level") == "Error")
+    path = export.save_view(view, str(tmp_path), now=now)
+    assert path == f"{tmp_path}/20240203/output_20240203_040506.txt"
+    parts = sorted((tmp_path / "20240203/output_20240203_040506.txt").glob("part-*"))
+    written = [line for part in parts for line in part.read_text().splitlines()]
+    ordered = view.orderBy(*newest_first(view)).select("ts").collect()
+    stamps = [r.ts.strftime("%d.%m.%Y %H:%M:%S") if r.ts else "N/A" for r in ordered]
+    assert len(written) == len(stamps) > 0
+    assert all(line.startswith(stamp) for line, stamp in zip(written, stamps))
+    with pytest.raises(AnalysisException):
+        export.save_view(view.limit(1), str(tmp_path), now=now)
+    assert [p for p in parts if not p.exists()] == []
+    with pytest.raises(ValueError):
+        export.save_view(view, str(tmp_path), "xml")
+    empty = export.save_view(view.where("false"), str(tmp_path / "none"), "json", now=now)
+    assert view.sparkSession.read.text(empty).count() == 0
+
+
 def test_export_paths():
     now = datetime(2024, 2, 3, 4, 5, 6)
     assert export.dated_path("/b", "txt", now) == "/b/20240203/output_20240203_040506.txt"
