@@ -885,6 +885,28 @@ def _store_clear(e):
     )
 
 
+# A text that few messages hold, and one with wildcards in it.
+RARE, WILD = 'user 17 {"k": 1', "VIEW%user _2"
+
+
+@_entries(
+    "store_search",
+    f"SELECT 'rare' AS kind, {STORED} FROM e WHERE message ILIKE '%{RARE}%' "
+    f"UNION ALL SELECT 'wild' AS kind, {STORED} FROM e WHERE message ILIKE '%{WILD}%'",
+)
+def _store_search(e):
+    """Two searches of a store through its skip index, after its parts have been merged."""
+    store = EntryStore(e.sparkSession, new_dir(e.sparkSession, "store"), grams=True)
+    for i in range(2):
+        store.append(e.where(F.col("id") % 2 == i), F.col("session_id"), F.col("created_at"), many_days=True)
+    store.compact(before=datetime(2100, 1, 1).date())
+    found = [
+        fl.LogFilter(search=text).apply(store.read(search=text)).select(F.lit(kind).alias("kind"), *ENTRY_COLUMNS, "created_at", "session_id")
+        for kind, text in (("rare", RARE), ("wild", WILD))
+    ]
+    return found[0].unionByName(found[1])
+
+
 # --- report and dashboard -------------------------------------------------------
 
 

@@ -33,6 +33,11 @@ class History:
     def entries(self) -> DataFrame:
         return self._entries if self.store is None else self.store.read()
 
+    def _searched(self, filters: LogFilter | None) -> DataFrame:
+        """The entries, without files that cannot hold the searched text."""
+        search = filters.search if filters else None
+        return self.entries if self.store is None else self.store.read(search=search)
+
     def save_logs(self, logs: DataFrame, session_id: str) -> int:
         return self.store.append(logs, session_id)
 
@@ -47,14 +52,14 @@ class History:
         once, where the page is."""
         filters = filters or LogFilter()
         if self.store is None or not self.store.rollups or not filters.counted:
-            return get_logs(self.entries, page, size, filters)
+            return get_logs(self._searched(filters), page, size, filters)
         version = self.store.version()
         hours = filters.apply(self.store.read_rollups(version).where(F.col("kind") == "hour"))
         found = page_by_hours(filters.apply(self.store.read(version)), hours, page, size)
         return entry_columns(found), hours.agg(F.coalesce(F.sum(WEIGHT), F.lit(0)).alias("total"))
 
     def count_logs(self, filters: LogFilter | None = None) -> DataFrame:
-        return count_logs(self.entries, filters)
+        return count_logs(self._searched(filters), filters)
 
     def session_ids(self) -> DataFrame:
         return aggregates.sessions(self.entries)

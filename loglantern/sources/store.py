@@ -11,10 +11,12 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from loglantern.functions.text import is_blank
 from loglantern.functions.times import utc_now
 from loglantern.operators.projections import stamp_entries
 from loglantern.plans.rollups import ROLLUP_SCHEMA, rollup
 from loglantern.schema import FILE_SCHEMA, STORE_PARTITIONS, STORE_SCHEMA, ntz
+from loglantern.sources.grams import GRAM_SCHEMA, files_with, index_files, searched_positions
 from loglantern.sources.manifest import Manifest, Part
 
 # Columns whose equality filters skip row groups by Bloom filter.
@@ -26,6 +28,9 @@ LOAD_NAME = r"[A-Za-z0-9._-]+"
 # Where the partial counts of a part lie, under the root.
 ROLLUPS = "_rollup"
 
+# Where the skip index of a part's files lies, under the root.
+GRAMS = "_grams"
+
 # Parts of about the same size are merged when there are so many of a day.
 FAN_IN = 16
 
@@ -53,14 +58,16 @@ class EntryStore:
     load does not store rows twice. Ids are unique within a load.
 
     With ``rollups`` every part comes with partial counts (see ``plans.rollups``), which
-    live and go with it. ``grace`` is how long removed parts stay for readers of earlier
+    live and go with it; with ``grams``, with a skip index for message search (see
+    ``sources.grams``). ``grace`` is how long removed parts stay for readers of earlier
     versions.
     """
 
-    def __init__(self, spark: SparkSession, path: str, rollups: bool = False, grace: timedelta = GRACE):
+    def __init__(self, spark: SparkSession, path: str, rollups: bool = False, grace: timedelta = GRACE, grams: bool = False):
         self.spark = spark
         self.path = path.rstrip("/")
         self.rollups = rollups
+        self.grams = grams
         self.grace = grace
         self.manifest = Manifest(spark, self.path)
 
@@ -91,13 +98,19 @@ class EntryStore:
             names = [_directory(day, part) for day in self._days(part)]
             counts = dict(self._read(names).groupBy("ingest_date").count().collect())
         parts = [Part(_directory(d, part), n, load, made["first"], made["last"]) for d, n in sorted(counts.items(), key=str)]
+        written = self._read([p.dir for p in parts])
         if self.rollups:
-            counted = rollup(self._read([p.dir for p in parts]), *STORE_PARTITIONS)
-            counted.hint("rebalance", "ingest_date").write.mode("overwrite").partitionBy(*STORE_PARTITIONS).option(
-                "partitionOverwriteMode", "dynamic"
-            ).parquet(f"{self.path}/{ROLLUPS}")
+            self._write_beside(rollup(written, *STORE_PARTITIONS), ROLLUPS)
+        if self.grams:
+            self._write_beside(index_files(written, *STORE_PARTITIONS), GRAMS)
         return parts
 
+    def _write_beside(self, rows: DataFrame, folder: str) -> None:
+        """Writes what comes with parts, under their names."""
+        rows.hint("rebalance", "ingest_date").write.mode("overwrite").partitionBy(*STORE_PARTITIONS).option(
+            "partitionOverwriteMode", "dynamic"
+        ).parquet(f"{self.path}/{folder}")
+
     def _days(self, part: str) -> list[str]:
         """Days that have a directory of this part."""
         files, jvm = self.manifest._files(), self.spark._jvm
@@ -122,10 +135,29 @@ class EntryStore:
     def version(self) -> int:
         return self.manifest.at().number
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, search: str | None = None) -> DataFrame:
         """The rows of a version, the latest by default. What the frame reads stays the same
-        whatever is written meanwhile."""
-        return self._read(list(self.manifest.at(version).parts)).select(*STORE_SCHEMA.names)
+        whatever is written meanwhile.
+
+        With ``search``, files whose messages cannot hold that text are left out, if the
+        store keeps a skip index; the rows of the others still are to be searched.
+        """
+        names = list(self.manifest.at(version).parts)
+        if self.grams and names and not is_blank(search):
+            names = self._holding(names, search)
+        return self._read(names).select(*STORE_SCHEMA.names)
+
+    def _holding(self, names: list[str], search: str) -> list[str]:
+        """Files of the parts that can hold a searched text, or all parts when it is too
+        short to tell. A part without an index is read."""
+        needed = searched_positions(self.spark, search)
+        if not needed:
+            return names
+        files = self.manifest._files()
+        indexed = [n for n in names if files.exists(self.manifest._path(f"{GRAMS}/{n}"))]
+        found = files_with(self._read(indexed, GRAMS, GRAM_SCHEMA), needed).collect()
+        without = sorted(set(names) - set(indexed))
+        return without + sorted(f"{_directory(r.ingest_date, r.part)}/{r.file}" for r in found)
 
     def read_rollups(self, version: int | None = None) -> DataFrame:
         """The partial counts of a version's parts; reads no entry."""
@@ -315,7 +347,7 @@ class EntryStore:
         return len(dead)
 
     def _delete(self, name: str) -> None:
-        for path in (name, f"{ROLLUPS}/{name}"):
+        for path in (name, f"{ROLLUPS}/{name}", f"{GRAMS}/{name}"):
             self.manifest._files().delete(self.manifest._path(path), True)
 
 
