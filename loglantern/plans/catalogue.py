@@ -40,7 +40,7 @@ from loglantern.schema import ENTRY_COLUMNS
 from loglantern.sources import export, records
 from loglantern.sources.shared import new_dir
 from loglantern.sources.store import EntryStore, deleted_count, survivors
-from loglantern.streaming.live import live_level_count, live_series
+from loglantern.streaming.live import live_level_count, live_series, new_entries
 from loglantern.streaming.monitor import Monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1004,6 +1004,39 @@ ORACLES["monitor_stream"] = (
 )
 
 
+_CLOCKS = [NOW - timedelta(days=12), NOW - timedelta(days=6), NOW]
+_CLOCK_SPAN = timedelta(days=3)
+
+
+def _stream_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New entries of overlapping files while the clock moves on by spans; for the first
+    clocks most entries are dated ahead."""
+    inbox, path, checkpoint = new_dir(spark, "inbox"), new_dir(spark, "fresh"), new_dir(spark, "checkpoint")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    for i, now in enumerate(_CLOCKS):
+        events(spark, sf_dir).where(F.col("event_id") % 3 != i).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(EVENTS_SCHEMA).parquet(inbox)
+        entries = entries_of(stream).select(*ENTRY_COLUMNS).where(fl.recent(_CLOCK_SPAN, now))
+        query = (
+            new_entries(entries, _CLOCK_SPAN, now)
+            .writeStream.option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(keep)
+            .start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(path).select(*ENTRY_COLUMNS)
+
+
+QUERIES["stream_new_entries"] = _stream_new_entries
+ORACLES["stream_new_entries"] = f"WITH e AS ({ENTRIES_SQL}) " + " UNION ".join(
+    f"SELECT {FIVE} FROM e WHERE id % 3 <> {i} AND ts >= {_stamp(now - _CLOCK_SPAN)}" for i, now in enumerate(_CLOCKS)
+)
+
+
 def _stream_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets as the stream updates them; of each, the last state counts."""
     path = new_dir(spark, "series")

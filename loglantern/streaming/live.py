@@ -30,6 +30,9 @@ from loglantern.sources.records import channel_records
 # Wall clocks may be set back by so much; entries stamped afterwards are not late.
 CLOCK_SHIFT = timedelta(hours=2)
 
+# By this name Spark keeps, with an event-time column, how long after it state goes.
+DELAY_KEY = "spark.watermarkDelayMs"
+
 
 def _seconds(span: timedelta) -> str:
     return f"{span // timedelta(seconds=1)} seconds"
@@ -52,24 +55,30 @@ def new_entries(
 ) -> DataFrame:
     """Drop entries seen before, over all batches of the stream.
 
-    State is one fingerprint per entry. It is dropped once the entry is so old
-    that the recency filter of ``span`` would refuse a repeat anyway. An entry
-    dated in the future counts as of now for the watermark, which it would
-    otherwise push past entries still to come.
+    State is one fingerprint per entry. It goes when the watermark is a span past the
+    entry's own time, also if that is still to come; the recency filter of ``span`` refuses
+    every repeat by then. The watermark follows the clock: an entry dated ahead counts as
+    of now for it, as it would otherwise push out entries still to come.
     """
     if isinstance(span, str):
         span = time_range(span)
     clock = local_now() if now is None else ntz(now)
+    own = event_time(F.col("ts"))
     keyed = entries.withColumns(
         {
             "fp": F.unhex(entry_fingerprint()),
-            "event_time": F.least(event_time(F.col("ts")), event_time(clock)),
+            "event_time": own,
+            "reached": F.least(own, event_time(clock)),
         }
     )
     if fold_copies:
         keyed = keyed.mapInArrow(_fold_copies, keyed.schema)
+    delay = span + CLOCK_SHIFT
+    watched = keyed.withWatermark("reached", _seconds(delay))
+    # State goes by the entry's own time, the watermark by the time that is reached.
+    timed = F.col("event_time").alias("event_time", metadata={DELAY_KEY: delay // timedelta(milliseconds=1)})
     return (
-        keyed.withWatermark("event_time", _seconds(span + CLOCK_SHIFT))
+        watched.select(*entries.columns, "fp", timed)
         .dropDuplicatesWithinWatermark(["fp"])
         .drop("fp", "event_time")
     )

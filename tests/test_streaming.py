@@ -107,6 +107,37 @@ def test_state_is_dropped_with_age(raw, inbox, tmp_path):
     assert again == []
 
 
+@pytest.mark.parametrize("fold_copies", [True, False])
+def test_entry_dated_ahead_is_kept_once_until_its_own_time(spark, inbox, tmp_path, fold_copies):
+    """The clock moves on by several spans between two copies of an entry dated ahead."""
+    drop, stream = inbox
+    span = timedelta(days=10)
+    ahead = datetime(2024, 6, 1)
+
+    def batch(now, times):
+        rows = [(t, "ahead" if t == ahead else f"at {t}") for t in times]
+        raw = spark.createDataFrame(rows, "time_generated timestamp_ntz, message string")
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA if f.name not in raw.columns]
+        drop(raw.select("*", *missing).select(*RAW_SCHEMA.names))
+        entries = raw_to_entries(stream)
+        fresh = new_entries(entries.where(recent(span, now)), span, now, fold_copies)
+        out, query = run(fresh.select("message"), str(tmp_path / "checkpoint"))
+        state = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+        return sorted(m for (m,) in out), state[-1]
+
+    day = datetime(2024, 2, 1)
+    assert batch(day, [day, ahead, ahead]) == (["ahead", f"at {day}"], 2)
+    later = datetime(2024, 3, 1)
+    sent, kept = batch(later, [later, ahead])
+    assert sent == [f"at {later}"] and kept == 2  # the first one's state is gone
+    last = datetime(2024, 4, 10)
+    sent, kept = batch(last, [last, ahead])
+    assert sent == [f"at {last}"] and kept == 2
+    over = datetime(2024, 7, 1)
+    sent, kept = batch(over, [over, ahead])
+    assert sent == [f"at {over}"] and kept == 1  # its own time has come and gone
+
+
 def test_future_entries_do_not_push_others_out(raw, inbox, tmp_path):
     drop, stream = inbox
     fresh = new_entries(raw_to_entries(stream), timedelta(days=40), datetime(2024, 2, 1))
