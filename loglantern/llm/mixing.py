@@ -245,26 +245,34 @@ def mixed_documents(docs: DataFrame, slices: DataFrame) -> DataFrame:
 
     One row per pass and stretch of a document: a document that is read three times
     comes three times, one at the end of the quota in part. White space stays as it is.
+    Texts are shuffled once, as they are, and cut in words only where they meet their runs.
     """
-    stretches = slices.groupBy("doc_id", "tkey", "start", "pass").agg(
-        F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("parts")
-    )
-    opens = F.filter("parts", lambda p, i: ~(F.get("parts", i - 1)["first_word"] + F.get("parts", i - 1)["n_words"]).eqNullSafe(p["first_word"]))
-    ends = F.filter("parts", lambda p, i: ~(p["first_word"] + p["n_words"]).eqNullSafe(F.get("parts", i + 1)["first_word"]))
-    runs = stretches.select(
-        F.col("doc_id").alias("d"), F.col("tkey").alias("k"), F.explode(F.arrays_zip(opens.alias("a"), ends.alias("z"))).alias("run")
-    ).select(
-        "d", "k", F.col("run.a.first_word").alias("a"), (F.col("run.z.first_word") + F.col("run.z.n_words")).alias("z")
-    )
-    known = pick(docs, "doc_id", "text", "lang", "source").withColumn("tkey", text_key(F.col("text"))).dropDuplicates(["doc_id", "tkey"])
+    parts = F.sort_array(F.collect_list(F.struct("pass", "first_word", "n_words"))).alias("parts")
+    stretches = slices.groupBy("doc_id", "tkey", "start").agg(parts)
+
+    def follows(before: Column, part: Column) -> Column:
+        end = before["first_word"] + before["n_words"]
+        return before["pass"].eqNullSafe(part["pass"]) & end.eqNullSafe(part["first_word"])
+
+    opens = F.filter("parts", lambda p, i: ~follows(F.get("parts", i - 1), p))
+    ends = F.filter("parts", lambda p, i: ~follows(p, F.get("parts", i + 1)))
+    # equal rows are dropped and joined by the same columns, none of them null, so one shuffle does for both
+    key = ["id", "no_id", "tkey"]
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    named = (F.coalesce(F.col("doc_id"), zero).alias("id"), F.col("doc_id").isNull().alias("no_id"))
+    runs = stretches.select(*named, "tkey", F.arrays_zip(opens.alias("a"), ends.alias("z")).alias("runs"))
+    known = pick(docs, "doc_id", "text", "lang", "source").withColumn("tkey", text_key(F.col("text")))
+    known = known.select(*named, "tkey", "text", "lang", "source").dropDuplicates(key)
     # each word with the white space after it; what stands before the first word goes with it
-    worded = known.withColumn("w", F.split("text", "(?<=[ \\t-\\r])(?=[^ \\t-\\r])"))
+    worded = known.join(runs, key).withColumn("w", F.split("text", "(?<=[ \\t-\\r])(?=[^ \\t-\\r])"))
+    cut = worded.select("id", "no_id", "text", "lang", "source", "w", F.explode("runs").alias("run"))
+    a, z = F.col("run.a.first_word"), F.col("run.z.first_word") + F.col("run.z.n_words")
     lead = F.when(F.col("text").rlike("^[ \\t-\\r]"), 1).otherwise(0)
-    joined = worded.join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")))
     n = F.size("w") - lead
-    some = F.array_join(F.slice("w", (F.col("a") + 1 + lead).cast("int"), (F.col("z") - F.col("a")).cast("int")), "")
-    text = F.when((F.col("a") == 0) & (F.col("z") >= n), F.col("text")).otherwise(some)
-    return joined.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long"))
+    some = F.array_join(F.slice("w", (a + 1 + lead).cast("int"), (z - a).cast("int")), "")
+    text = F.when((a == 0) & (z >= n), F.col("text")).otherwise(some)
+    mixed = cut.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), text.alias("text"), "lang", "source")
+    return mixed.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,43 @@ def test_mixed_texts(spark):
         assert r.text in texts[r.doc_id - 1][1] and r.n_chars == len(r.text)
         words[r.doc_id] += len(r.text.split())
     assert {1: words[1], 2: words[2], 3: 0} == taken
+
+
+def test_mixed_texts_are_shuffled_once(spark):
+    """Neither a second time for the join, nor cut in words, which takes three times the room."""
+    docs = spark.createDataFrame([(1, "one two three", "en", "a"), (2, "four", "en", "b")], "doc_id long, text string, lang string, source string")
+    slices = mixing.mix_sources(mixing.place_documents(docs))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plans = [mixing.mixed_documents(docs, slices)._jdf.queryExecution().executedPlan().executedPlan()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    sent = []
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "Exchange":
+            sent.append(plan.schema().catalogString())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert sum(s.count(":string") >= 3 for s in sent) == 1  # text, lang and source
+    assert not any("array<string>" in s for s in sent)
+
+
+def test_mixed_rows_of_null_and_zero_ids(spark):
+    """A null id is none of the ids, and each reading of a document is a row of its own."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, "en", "a"), (0, text, "fr", "b"), (0, "  x y\n", "de", "b"), (None, "x\ty", "es", "c"), (7, "\n", "en", "c"), (8, None, "en", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = mixing.place_documents(docs)
+    for block_words in (3, 4096):
+        slices = mixing.mix_sources(placed, block_words=block_words)
+        got = mixing.mixed_documents(docs, slices).collect()
+        whole = {(i, lang): t for i, t, lang, _ in rows}
+        want, words = Counter(), Counter()
+        for r in slices.collect():
+            want[(r.doc_id, r.tkey)] += r.n_words
+        for r in got:
+            assert r.text in whole[(r.doc_id, r.lang)] and r.n_chars == len(r.text)
+            words[(r.doc_id, r.lang)] += len(r.text.split())
+        assert sorted(want.values()) == sorted(words.values()) and sum(words.values()) == 84
+        assert all(r.source == {(i, lang): s for i, _, lang, s in rows}[(r.doc_id, r.lang)] for r in got)
