@@ -130,16 +130,22 @@ def fit_weights(docs: DataFrame) -> Weights:
             for s, counts in zip(batch.column("slice").to_pylist(), batch.column("counts")):
                 sums[s] = sums.get(s, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
         for s, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["slice", "counts"])
-
-    sums = texts.mapInArrow(count, "slice int, counts binary").repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    slots = np.zeros((_SLICES, (1 << _SLOT_BITS) // _SLICES), np.int64)  # of fixed size
-    for r in sums:
-        slots[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.int64)
-    slots = slots.ravel()
-    floor = max(RARE, slots.sum() / max(1, n) / MAX_FREQUENT)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([int(counts.sum())])], names=["slice", "counts", "total"])
+
+    sums = texts.mapInArrow(count, "slice int, counts binary").repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary, total long")
+    sums = saved(sums, "minhash-slots")
+    floor = max(RARE, (sums.agg(F.sum("total")).first()[0] or 0) / max(1, n) / MAX_FREQUENT)
     least = max(1.0, floor * n)
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(slots >= least))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(c.as_buffer(), np.int64) >= least).tobytes() for c in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(bits, pa.binary())], names=["slice", "bits"])
+
+    slots = np.zeros((_SLICES, (1 << _SLOT_BITS) // _SLICES // 8), np.uint8)  # bits alone come to the driver
+    for r in sums.select("slice", "counts").mapInArrow(pack, "slice int, bits binary").collect():
+        slots[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    wanted = docs.sparkSession.sparkContext.broadcast(slots.ravel())
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.unpackbits(wanted.value).astype(bool)

@@ -134,3 +134,15 @@ def test_slots_never_hold_less_than_what_is_shared():
 def test_texts_whose_hashes_meet(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(common, "NODE_BITS", 8)
     test_small_tables(spark, sf_dir)
+
+
+def test_slots_come_to_the_driver_as_bits(spark, monkeypatch):
+    """Not as counts, 64 times as large; and the weights are those of exact counts."""
+    docs = spark.createDataFrame([(f"a b c d e f{i}",) for i in range(30)] + [("",), (None,)], "text string")
+    collect, got = type(docs).collect, []
+    monkeypatch.setattr(type(docs), "collect", lambda self: got.append(collect(self)) or got[-1])
+    weights = minhash.fit_weights(docs)
+    sent = sum(len(x) for rows in got for r in rows for x in r if isinstance(x, (bytes, bytearray)))
+    assert sent <= (1 << minhash._SLOT_BITS) // 8
+    assert sorted(weights.idf) == sorted([np.log1p(32 / 30)] + [np.log1p(32)] * 30)
+    assert not len(minhash.fit_weights(docs.where("false")).hashes)
